@@ -3,7 +3,7 @@
 Two different lines link when their edit distance is within the bound for the shorter one. A line of n characters with bound t
 is cut into t + 1 segments; t edits leave one of them whole, so a longer or equal line within reach holds that segment at a
 place that the lengths allow. The index has a line's segments under (segment number, length); the probe takes only the
-substrings whose place the edits left and right of it permit. Pairs that share one and whose letter parities are close enough
+substrings whose place the edits left and right of it permit. Pairs that share one and whose letter counts are close enough
 are verified by a banded bit-parallel edit distance.
 """
 
@@ -16,17 +16,14 @@ from .common import components, cut, let
 
 #: (shortest line in characters, edits allowed); the shorter line of a pair decides. Shorter lines match only exactly.
 BOUNDS = ((16, 1), (64, 2))
-#: Characters whose counts' parities are compared; one edit changes at most two of them.
-PARITY = "abcdefghijklmnopqrstuvwxyz .,!éü"
+#: Letters whose counts are compared before texts are.
+LETTERS = "etaoinshrlducmfw"
+#: Most lines that are sent to every executor to look up their texts (about 30 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: The pipeline stage leaves a document to document-level dedup if more than this share of its characters would go.
 WHOLE_SHARE = 0.5
 
 
-def _classes():
-    """(shortest, shortest of the next class or None, edits)."""
-    return [(low, BOUNDS[i + 1][0] if i + 1 < len(BOUNDS) else None, t) for i, (low, t) in enumerate(BOUNDS)]
-
-
 def _edits(n: Column) -> Column:
     out = F.lit(0)
     for low, t in BOUNDS:
@@ -34,49 +31,60 @@ def _edits(n: Column) -> Column:
     return out
 
 
-def _in_class(n: Column, low: int, high: int | None) -> Column:
-    return n >= low if high is None else (n >= low) & (n < high)
-
-
-def _segment(n: Column, t: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of 0..t of a line of n characters; the last n % (t + 1) are one longer."""
-    short = F.floor(n / (t + 1)).cast("int")
-    longer = n - short * (t + 1)
-    before = F.greatest(longer - (t + 1 - i), F.lit(0))
-    return short * i + before + 1, short + F.when(F.lit(i) >= t + 1 - longer, 1).otherwise(0)
+def _variants() -> list[tuple[int, int, int, int, int]]:
+    """All (kind, edits, less, segment, shift) by which a line makes keys.
 
-
-def _key(line: Column, i: int, n: Column, at: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), n, F.substring(line, at, size))
+    Kind 1 is the index: the line's own segments. Kind 0 is the probe: where segment i of a line that is `less` characters
+    shorter can lie in this one, with i edits at most before it and edits - i at most after it.
+    """
+    out = []
+    for _, t in BOUNDS:
+        for i in range(t + 1):
+            out.append((1, t, 0, i, 0))
+            for less in range(t + 1):
+                out += [(0, t, less, i, shift) for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1)]
+    return out
 
 
-def _index_keys(line: Column, n: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    return F.concat(*(F.when(_in_class(n, low, high), F.array(*(_key(line, i, n, *_segment(n, t, i)) for i in range(t + 1)))).otherwise(none) for low, high, t in _classes()))
+def _keyed(lines: DataFrame) -> DataFrame:
+    """key, id, facts (lowest bit: kind) for every variant that applies. lines: id, line, n, facts.
 
+    One short expression makes any variant's key, so that it stays within compiled code, and both sides of the join read the
+    same rows.
+    """
+    names = ("kind", "t", "less", "i", "shift")
+    table = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names, strict=True))) for v in _variants()))
+    each = lines.select("id", "line", "n", "facts", F.explode(table).alias("v")).select("id", "line", "n", "facts", "v.*")
+    each = each.withColumn("m", F.col("n") - F.col("less")).filter(F.col("t") == _edits(F.col("m")))
+    # of t + 1 segments the last m % (t + 1) are one character longer
+    each = each.withColumn("short", F.expr("cast(m div (t + 1) as int)")).withColumn("first_long", F.expr("t + 1 - (m - short * (t + 1))"))
+    each = each.withColumn("at", F.expr("short * i + greatest(i - first_long, 0) + 1 + shift")).withColumn("size", F.expr("short + if(i >= first_long, 1, 0)"))
+    inside = each.filter("at >= 1 and at + size - 1 <= n")
+    # where characters are bytes, those are cut without counting characters first; the digest is the same
+    key = "xxhash64(i, m, if(octet_length(line) = n, substring(cast(line as binary), at, size), cast(substring(line, at, size) as binary)))"
+    return inside.select(F.expr(key).alias("key"), "id", F.col("facts").bitwiseOR(F.col("kind").cast("long")).alias("facts"))
+
+
+def _facts(line: Column) -> Column:
+    """What the join needs of a line in one number: bits 1-2 its edits, 3-15 its length, above them its letters' counts, three bits each."""
+    n = F.length(line)
+    out = F.shiftleft(_edits(n).cast("long"), 1).bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(8191)).cast("long"), 3))
+    left, size = line, F.octet_length(line)
+    for i, c in enumerate(LETTERS):
+        left = F.replace(left, F.lit(c), F.lit(""))
+        now = F.octet_length(left)
+        out = out.bitwiseOR(F.shiftleft((size - now).bitwiseAND(F.lit(7)).cast("long"), 16 + 3 * i))
+        size = now
+    return out
 
-def _probe_keys(line: Column, n: Column) -> Column:
-    """Keys of the substrings that can be a segment of a line that is `less` characters shorter."""
-    none, parts = F.array().cast("array<bigint>"), []
-    for low, high, t in _classes():
-        for less in range(t + 1):
-            keys = []
-            for i in range(t + 1):
-                at, size = _segment(n - less, t, i)
-                # i edits at most before the segment, t - i at most after it
-                for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                    keys.append(F.when((at + shift >= 1) & (at + shift + size - 1 <= n), _key(line, i, n - less, at + shift, size)))
-            parts.append(F.when(_in_class(n - less, low, high), F.array_compact(F.array(*keys))).otherwise(none))
-    return F.concat(*parts)
 
+def _may_link(a: str, fa: str, b: str, fb: str) -> str:
+    """SQL: a probes b, is the longer line or the one with the larger id, and its letters' counts are near enough.
 
-def _parities(line: Column) -> Column:
-    """32 bits: bit i is the parity of PARITY[i]'s count."""
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(PARITY):
-        lost = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(F.pmod((lost / len(c.encode())).cast("long"), F.lit(2)), i))
-    return out
+    Counts are known modulo 8, so their circular distance is a lower bound of the true one; an edit changes two at most by one.
+    """
+    apart = [f"least(({fa} >> {s}) - ({fb} >> {s}) & 7, ({fb} >> {s}) - ({fa} >> {s}) & 7)" for s in range(16, 16 + 3 * len(LETTERS), 3)]
+    return f"({fa} & 1) < ({fb} & 1) and {a} <> {b} and (({fa} >> 3 & 8191) <> ({fb} >> 3 & 8191) or {a} > {b}) and {' + '.join(apart)} <= 2 * ({fb} >> 1 & 3)"
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -123,56 +131,81 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _id(line: Column) -> Column:
     """64-bit digest that stands for a line; null for a line without a word."""
-    return F.when(F.length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0, F.xxhash64(line))
-
-
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id, line, first (struct of the first occurrence) for every different line with a word. Combines before it shuffles."""
-    rows = occurrences(docs).withColumn("id", _id(F.col("line"))).filter("id is not null")
-    return rows.groupBy("id").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "body", "line_no")).alias("first"))
-
-
-def edit_links(lines: DataFrame) -> DataFrame:
-    """a, b (ids of different lines, a the longer or equal one), edits: all pairs within the bounds. lines: id, line, distinct."""
-    sized = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= BOUNDS[0][0])
-    # what the join needs of a line besides its key: its length and parities in one number
-    facts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(_parities(F.col("line")))
-    marked = sized.withColumn("facts", facts)
-    index = marked.select(F.col("id").alias("b"), F.col("facts").alias("fb"), F.explode(_index_keys(F.col("line"), F.col("n"))).alias("key"))
-    probe = marked.select(F.col("id").alias("a"), F.col("facts").alias("fa"), F.explode(_probe_keys(F.col("line"), F.col("n"))).alias("key"))
-    na, nb = F.shiftright("fa", 32), F.shiftright("fb", 32)
-    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")).bitwiseAND(F.lit((1 << 32) - 1))) <= 2 * _edits(nb)
-    ahead = (na > nb) | ((na == nb) & (F.col("a") > F.col("b")))
-    met = cut(probe.join(index, "key").filter(ahead & close).select("a", "b").distinct())
-    # texts of lines in some pair only; the pairs are few beside the lines
-    used = met.select(F.col("a").alias("used")).union(met.select("b")).distinct()
-    texts = cut(lines.join(used, F.col("id") == F.col("used"), "left_semi").select("id", "line"))
+    return F.when(F.octet_length(F.ltrim(line, F.lit(" \t\n\x0b\f\r"))) > 0, F.xxhash64(line))
+
+
+#: Lines of a text that a place in the corpus can tell apart.
+_LINES = 1 << 32
+_PLACE = "decimal(31,0)"
+
+
+def _place(doc_id: str, line_no: str) -> Column:
+    """doc_id and line number in one number that sorts like them; null for a null doc_id."""
+    return F.expr(f"cast(cast({doc_id} as decimal(20,0)) * {_LINES} + {line_no} as {_PLACE})")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """a, b (ids): all pairs of different lines that the keys bring together and the letters' counts allow. rows: id, line.
+
+    Repeated lines are combined before the shuffle, the only one that moves texts. Lines shorter than the first bound have no
+    partner.
+    """
+    long = rows.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= BOUNDS[0][0])
+    keyed = _keyed(long.withColumn("facts", _facts(F.col("line"))).distinct())
+    index = keyed.select("key", F.col("id").alias("b"), F.col("facts").alias("fb"))
+    probe = keyed.select("key", F.col("id").alias("a"), F.col("facts").alias("fa"))
+    return cut(probe.join(index, "key").filter(_may_link("a", "fa", "b", "fb")).select("a", "b").distinct())
+
+
+def looked_up(rows: DataFrame, pairs: DataFrame, *more: Column) -> DataFrame:
+    """id, line and more aggregates for the lines of some pair, from another pass over rows; they are few beside all."""
+    used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
+    if pairs.count() <= BROADCAST_IDS // 2:
+        used = F.broadcast(used)
+    return cut(rows.join(used, F.col("id") == F.col("used"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), *more))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, edits: the pairs within the bounds. texts: id, line."""
     ta, tb = texts.select(F.col("id").alias("a"), F.split("line", "").alias("ca")), texts.select(F.col("id").alias("b"), F.split("line", "").alias("cb"))
-    pairs = met.join(ta, "a").join(tb, "b")
-    n, edits = F.size("cb"), F.lit(None).cast("int")
-    for low, high, t in _classes():
-        edits = F.when(_in_class(n, low, high), within(F.col("ca"), F.col("cb"), t)).otherwise(edits)
-    return pairs.select("a", "b", edits.alias("edits")).filter("edits is not null")
+    edits = F.lit(None).cast("int")
+    for low, t in BOUNDS:
+        edits = F.when(F.size("cb") >= low, within(F.col("ca"), F.col("cb"), t)).otherwise(edits)
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", edits.alias("edits")).filter("edits is not null")
+
+
+def edit_links(rows: DataFrame) -> DataFrame:
+    """a, b (ids of different lines, a the longer, or the one with the larger id), edits: all pairs of rows (id, line) within the bounds."""
+    pairs = candidates(rows)
+    return verified(pairs, looked_up(rows, pairs))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """One row per line of docs: doc_id, body, line_no, n_chars, class_doc, class_line, n_links, kept.
 
-    A class is all lines that links join, exact copies included; (class_doc, class_line) is its first occurrence by doc_id,
-    text digest and line number, and the only one that is kept. n_links counts the different lines the line is linked with.
-    Lines without a word are in no class (nulls, 0) and are kept. Rows of docs (doc_id, text) that are equal keep or lose
-    the same lines; a null doc_id comes first. A line that a third of all rows hold is one row before anything is joined.
+    A class is all lines that links join, exact copies included; (class_doc, class_line) is its first occurrence by doc_id
+    and line number, which alone is kept. n_links counts the different lines the line is linked with. Lines without a word
+    are in no class (nulls, 0) and are kept. Rows of docs (doc_id, text) that share doc_id are one document for the order; a
+    null doc_id comes last. A line that a third of all rows hold is one row before anything is joined to it.
     """
-    lines = distinct_lines(docs)
-    links = cut(edit_links(lines))
+    every = occurrences(docs).withColumn("id", _id(F.col("line"))).withColumn("place", _place("doc_id", "line_no"))
+    worded = every.filter("id is not null")
+    pairs = candidates(worded.select("id", "line"))
+    texts = looked_up(worded, pairs, F.min("place").alias("first"))
+    links = cut(verified(pairs, texts))
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    roots = components(links)
-    placed = lines.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("first").alias("head"))
-    of = placed.join(heads, "root").join(degree, "id", "left").select("id", "head", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = occurrences(docs).select("doc_id", "body", "line_no", F.length("line").cast("long").alias("n_chars"), _id(F.col("line")).alias("id"))
-    same = F.struct("doc_id", "body", "line_no").eqNullSafe(F.col("head"))
-    return rows.join(of, "id", "left").select("doc_id", "body", F.col("line_no").cast("long").alias("line_no"), "n_chars", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").cast("long").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("id").isNull() | same).alias("kept"))
+    # only linked lines have a head other than their own first occurrence
+    near = texts.join(components(links), F.col("id") == F.col("node")).select("id", "root", "first")
+    heads = near.groupBy("root").agg(F.min("first").alias("head"))
+    special = cut(near.join(heads, "root").join(degree, "id").select(F.col("id").alias("of"), "head", "n_links"))
+    firsts = worded.groupBy("id").agg(F.min("place").alias("first"))
+    rows = every.select("doc_id", "body", "line_no", F.length("line").cast("long").alias("n_chars"), "place", "id")
+    both = rows.join(firsts, "id", "left").join(special, F.col("id") == F.col("of"), "left")
+    head = F.when(F.col("of").isNull(), F.col("first")).otherwise(F.col("head"))
+    placed = both.select("doc_id", "body", F.col("line_no").cast("long").alias("line_no"), "n_chars", "place", "id", head.alias("head"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    doc = F.expr(f"cast(floor(head / {_LINES}) as bigint)")
+    line = F.expr(f"cast(pmod(head, {_LINES}) as bigint)")
+    return placed.select("doc_id", "body", "line_no", "n_chars", doc.alias("class_doc"), line.alias("class_line"), "n_links", (F.col("id").isNull() | F.col("place").eqNullSafe(F.col("head"))).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, whole_share: float = WHOLE_SHARE) -> DataFrame:

@@ -443,13 +443,13 @@ def test_line_classes_against_brute_force(spark):
     text_of = {(i, n): x for i, ts in body.items() for t in ts if t is not None for n, x in enumerate(t.split("\n"))}
     assert len(out) == sum(len(t.split("\n")) for _, t, _ in data if t is not None)
     first = {}
-    for x in sorted(out, key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.body, x.line_no)):
+    for x in sorted(out, key=lambda x: (x.doc_id is None, x.doc_id or 0, x.line_no)):
         line = text_of[x.doc_id, x.line_no]
         if not line.strip():
             assert (x.class_doc, x.class_line, x.n_links, x.kept) == (None, None, 0, True)
             continue
-        head = first.setdefault(of[line], (x.doc_id, x.line_no))
-        assert (x.class_doc, x.class_line, x.n_links) == (*head, degree[line]) and x.kept == (head == (x.doc_id, x.line_no))
+        head = first.setdefault(of[line], (x.doc_id, x.line_no if x.doc_id is not None else None))
+        assert (x.class_doc, x.class_line, x.n_links) == (*head, degree[line]) and x.kept == (head in ((x.doc_id, x.line_no), (None, None)))
 
 
 def test_repeated_lines_are_cut_and_copies_left_whole(spark, none):
