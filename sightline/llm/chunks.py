@@ -93,11 +93,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, body_id, n_repeated (chunks that stand elsewhere too), later (start, end of those that stand earlier elsewhere).
 
-    Only texts with a repeated chunk have a row. Of a digest's occurrences the first by doc_id, text digest and start stays.
+    Only texts with a repeated chunk have a row. Of a digest's occurrences the first by doc_id and start stays.
     Counting combines before it shuffles, so a chunk in a third of all texts is one row a task.
     """
     rows = chunks(docs)
-    place = F.struct("doc_id", "body_id", "start")
+    place = F.struct("doc_id", "start")
     often = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
     twice = rows.join(often, "digest").select("doc_id", "body_id", "start", "end", (~place.eqNullSafe(F.col("first"))).alias("later"))
     each = F.struct("start", "end")
@@ -134,8 +134,8 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_repeated
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_repeated, spans (removed bytes, end exclusive), text (what is left) for every row of docs.
 
-    A null text stays null, an empty one has no chunks. Rows that are equal in doc_id and text are one occurrence: they keep
-    or lose the same bytes. An exact copy of an earlier text loses everything but a last run shorter than RUN.
+    A null text stays null, an empty one has no chunks. Rows that share doc_id are one document for the order: what stands
+    first in it stays in each of them. An exact copy of an earlier text loses everything but a last run shorter than RUN.
     """
     spans = repeated_spans(docs).select(F.col("doc_id").alias("d"), F.col("body_id").alias("b"), "n_repeated", "later")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body_id"), F.col("text").cast("binary").alias("body"))
