@@ -200,7 +200,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     special = cut(near.join(heads, "root").join(degree, "id").select(F.col("id").alias("of"), "head", "n_links"))
     firsts = worded.groupBy("id").agg(F.min("place").alias("first"))
     rows = every.select("doc_id", "body", "line_no", F.length("line").cast("long").alias("n_chars"), "place", "id")
-    both = rows.join(firsts, "id", "left").join(special, F.col("id") == F.col("of"), "left")
+    # on the mirrored id both sides get an exchange of their own, which adaptive execution splits where a line is frequent
+    firsts = firsts.select(F.bitwise_not("id").alias("mirrored"), "first")
+    both = rows.join(firsts, F.bitwise_not("id") == F.col("mirrored"), "left").join(special, F.col("id") == F.col("of"), "left")
     head = F.when(F.col("of").isNull(), F.col("first")).otherwise(F.col("head"))
     placed = both.select("doc_id", "body", F.col("line_no").cast("long").alias("line_no"), "n_chars", "place", "id", head.alias("head"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     doc = F.expr(f"cast(floor(head / {_LINES}) as bigint)")
