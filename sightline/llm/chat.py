@@ -120,7 +120,9 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     owners = slim.groupBy("node_id").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_conversations"))
     path = Window.partitionBy("conv_id").orderBy("depth")
     before = path.rowsBetween(Window.unboundedPreceding, -1)
-    owned = slim.join(owners, "node_id").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last_owner", F.lag("owner").over(path))
+    # on the mirrored id both sides get an exchange of their own, which adaptive execution splits where a turn is frequent
+    owners = owners.select(F.reverse("node_id").alias("mirrored"), "owner", "n_conversations")
+    owned = slim.join(owners, F.reverse("node_id") == F.col("mirrored")).drop("mirrored").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last_owner", F.lag("owner").over(path))
     owned = cut(owned)
     # where a conversation's path enters another chain: always at that chain's first node
     steps = owned.filter("last_owner is null or last_owner <> owner").select("conv_id", "depth", "owner", "start")
