@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, pieces
+
 #: Bytes of records in one file, and so about what a task reads at once.
 FILE_BYTES = 8 << 20
 #: Most records in one WARC file.
 RECORDS_PER_FILE = 2000
+#: Most repeated payloads that are sent to every executor (some 200 bytes each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 100_000
 #: Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
 
@@ -29,41 +35,54 @@ ARC_FIELDS = {
 }
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "20240101000000"
-
-
-def _http(page_id: Column, html: Column) -> Column:
-    """An HTTP response with the page's id and length in its headers; the body is the page as it is."""
-    status = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(page_id.cast("string"), F.lit("")))
-    return F.concat(status, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
+#: Rows and bytes that a worker hands over at once, so that it holds little more than one file.
+_ROWS, _HELD = 128, 1 << 20
+
+
+def _arc_rows(per_file: int):
+    """Records of a partition in ARC's form; a file description goes before every per_file of them."""
+
+    def go(batches):
+        task = TaskContext.get()
+        part, n, version = task.partitionId() if task else 0, 0, 1
+        for rows in pieces(batches, _ROWS):
+            out = []
+            for page_id, url, html in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                if n % per_file == 0:
+                    version = 1 + (part + n // per_file) % 2
+                    about = f"{version} 0 sightline\n{ARC_FIELDS[version]}\n"
+                    out.append(f"filedesc://part-{part}-{n // per_file}.arc 0.0.0.0 {_DATE} text/plain {len(about)}\n{about}")
+                n += 1
+                body = html or ""
+                content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}"
+                place = re.sub(r"[\s\x00-\x1f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
+                more = "" if version == 1 else f" 200 - - 0 part-{part}-{n // per_file}.arc"
+                out.append(f"{place} 0.0.0.0 {_DATE} text/html{more} {len(content.encode())}\n{content}")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return go
 
 
 def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Writes pages (page_id, url, html) as ARC files, version 1 and 2 by turns of files; null html is empty.
+    """Writes pages (page_id, url, html) as gzipped ARC files, version 1 and 2 by turns; null html is empty. No shuffle.
 
     White space and control characters in a url, which a header line can't hold, are percent-encoded; a null url is "-".
     """
-    spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    total = rows.agg(F.sum(F.octet_length("html") + F.lit(400))).first()[0] or 0
-    n_files = int(max(1, -(-total // file_bytes)))
-    file_no = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(n_files)).cast("int")
-    body = _http(F.col("page_id"), F.col("html"))
-    clean = F.coalesce("url", F.lit("-"))
-    for c in " \t\n\x0b\f\r":
-        clean = F.replace(clean, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    clean = F.when(F.length(clean) > 0, clean).otherwise("-")
-    length = F.octet_length("body").cast("string")
-    line1 = F.concat_ws(" ", F.col("clean"), F.lit("0.0.0.0"), F.lit(_DATE), F.lit("text/html"), length)
-    line2 = F.concat_ws(" ", F.col("clean"), F.lit("0.0.0.0"), F.lit(_DATE), F.lit("text/html"), F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.concat(F.lit("part-"), F.col("file_no").cast("string")), length)
-    version = F.when(F.col("file_no") % 2 == 0, F.lit(1)).otherwise(F.lit(2))
-    records = rows.select("page_id", file_no.alias("file_no"), clean.alias("clean"), body.alias("body"))
-    records = records.select("file_no", F.lit(1).alias("part"), "page_id", F.concat(F.when(version == 1, line1).otherwise(line2), F.lit("\n"), F.col("body")).alias("value"))
-    heads = spark.range(n_files).select(F.col("id").cast("int").alias("file_no"))
-    describe = {v: f"{v} 0 sightline\n{fields}\n" for v, fields in ARC_FIELDS.items()}
-    head = lambda v: F.concat(F.lit("filedesc://part-"), F.col("file_no").cast("string"), F.lit(f".arc 0.0.0.0 {_DATE} text/plain {len(describe[v])}\n{describe[v]}"))
-    heads = heads.select("file_no", F.lit(0).alias("part"), F.lit(None).cast("long").alias("page_id"), F.when(version == 1, head(1)).otherwise(head(2)).alias("value"))
-    both = records.unionByName(heads).repartition(n_files, "file_no").sortWithinPartitions("file_no", "part", "page_id")
-    both.select("value").write.option("lineSep", "\n").text(path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    sizes = rows.agg(F.sum(F.octet_length("html") + F.lit(400)), F.count("*")).first()
+    per_file = max(1, int(file_bytes * sizes[1] / max(sizes[0] or 1, 1)))
+    # one row more a file, for its description
+    rows.mapInArrow(_arc_rows(per_file), "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file + 1).text(path)
+
+
+def inflated(data: bytes) -> bytes:
+    """The bytes of a file, without its compression if it has one; gzip files may have several members."""
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join([*parts, data]) if parts else data
 
 
 def parse_arc(data: bytes):
@@ -109,7 +128,7 @@ def _arc_batches(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows, held = [], 0
-            for i, (_, fields, http) in enumerate(parse_arc(content.as_py())):
+            for i, (_, fields, http) in enumerate(parse_arc(inflated(content.as_py()))):
                 headers, body = split_http(http)
                 digest = hashlib.sha1(body).hexdigest()
                 name = hashlib.sha256(f"{path.rpartition('/')[2]}:{i}:{fields['URL']}:{digest}".encode()).hexdigest()
@@ -120,7 +139,7 @@ def _arc_batches(batches):
                     "record_id": f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-8{name[17:20]}-{name[20:32]}>",
                 })
                 held += len(http)
-                if held > FILE_BYTES:
+                if held > _HELD:
                     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
@@ -144,7 +163,9 @@ def with_revisits(records: DataFrame) -> DataFrame:
     big = records.filter(F.col("payload_bytes") >= REVISIT_BYTES)
     best = big.groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"), F.max_by(F.struct("record_id", "date"), F.struct(F.coalesce("page_id", F.lit(-(2**63))), F.col("record_id"))).alias("response"))
     # a page of which there is one has nothing to revisit, so the join carries repeated digests only
-    best = best.filter("n > 1").select(F.col("payload_digest").alias("same"), "top", "response")
+    best = cut(best.filter("n > 1").select(F.col("payload_digest").alias("same"), "top", "response"))
+    if best.count() <= BROADCAST_DIGESTS:
+        best = F.broadcast(best)
     both = records.join(best, F.col("payload_digest") == F.col("same"), "left")
     later = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return both.select(*records.columns, F.when(later, F.col("response.record_id")).alias("original"), F.when(later, F.col("response.date")).alias("original_date"))
@@ -157,7 +178,7 @@ def _base32(digest: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records of with_revisits() as WARC 1.1: a response with its block, a revisit with the HTTP headers alone."""
+    """Writes records of with_revisits() as gzipped WARC 1.1: a response with its block, a revisit with the HTTP headers alone."""
     again = F.col("original").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     block = F.when(again, F.col("head")).otherwise(F.col("http"))
@@ -166,7 +187,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("payload_digest")))), F.when(again, more).otherwise(F.lit("")), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    records.select(F.concat(head, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.concat(head, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -196,7 +217,7 @@ def _warc_batches(batches):
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for headers, block in parse_warc(content.as_py()):
+            for headers, block in parse_warc(inflated(content.as_py())):
                 http, body = split_http(block)
                 kind = headers["warc-type"]
                 digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
