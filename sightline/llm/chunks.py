@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Bytes of a chunk: least, most, and the bits of the hash that must be zero (mean about LEAST + 2 ** BITS).
 LEAST, MOST, BITS = 16, 128, 5
 #: A run of removable chunks shorter than this many bytes is left where it is: a common phrase, no passage.
@@ -68,20 +70,18 @@ def _whole(body: bytes, at: int) -> int:
 
 def _chunk_batches(batches):
     digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        ids, keys = batch.column("doc_id").to_pylist(), batch.column("body_id").to_pylist()
-        for at in range(0, len(ids), 512):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for d, k, b in zip(ids[at : at + 512], keys[at : at + 512], batch.column("body").slice(at, 512), strict=True):
-                body = b.as_py()
-                ends = boundaries(body or b"")
-                starts = [0, *ends[:-1]]
-                out[0].extend([d] * len(ends))
-                out[1].extend([k] * len(ends))
-                out[2].extend(starts[: len(ends)])
-                out[3].extend(ends)
-                out[4].extend([digest(body[s:e]) for s, e in zip(starts, ends, strict=False)])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["doc_id", "body_id", "start", "end", "digest"])
+    for batch in pieces(batches):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for d, k, b in zip(batch.column("doc_id").to_pylist(), batch.column("body_id").to_pylist(), batch.column("body"), strict=True):
+            body = b.as_py()
+            ends = boundaries(body or b"")
+            starts = [0, *ends[:-1]]
+            out[0].extend([d] * len(ends))
+            out[1].extend([k] * len(ends))
+            out[2].extend(starts[: len(ends)])
+            out[3].extend(ends)
+            out[4].extend([digest(body[s:e]) for s, e in zip(starts, ends, strict=False)])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["doc_id", "body_id", "start", "end", "digest"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def runs(later: list[dict]) -> list[dict]:
 
 
 def _cut_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for r in batch.to_pylist():
             body, at, parts, spans = r["body"], 0, [], runs(r["later"] or [])

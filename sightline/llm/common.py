@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(batches, rows: int = 256):
+    """Arrow batches in slices of few rows: a worker then holds one batch and little besides, however long the texts are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value, body):
     """body(value) with value evaluated once a row, also where body uses it inside another lambda."""
     return F.transform(F.array(value), body)[0]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, pieces
 
 WINDOW = 10
 #: Most words of benchmark items in one automaton (about 300 bytes a word in each Python worker); more items make more passes.
@@ -171,7 +171,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, most: int = SHARD_WORDS) ->
 
         def go(batches, shared=shared):
             machine = shared.value
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = []
                 for r in batch.to_pylist():
                     words = words_of(r["body"])
@@ -234,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits
 
         def go(batches, shared=shared):
             machine = shared.value
-            for batch in batches:
+            for batch in pieces(batches):
                 at = batch.schema.get_field_index("text")
                 old = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
                 new = [None if b is None else cleaned(b, machine, limits) for b in old]

@@ -51,10 +51,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         sizes = sizes.join(table, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
         weight = F.coalesce("weight", F.lit(0.0))
     sizes = sizes.select("source", "n_docs", weight.alias("weight"))
-    sums = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
-    wanted = F.col("all_docs").cast("double") if total is None else F.lit(float(total))
-    rate = F.coalesce(F.try_divide(F.col("weight") * wanted, F.col("all_weight") * F.col("n_docs")), F.lit(0.0))
-    return sizes.join(F.broadcast(sums)).select("source", "n_docs", rate.alias("rate"))
+    sums = sizes.agg(F.sum("weight").alias("weight"), F.sum("n_docs").alias("n_docs")).first()
+    wanted = float(sums.n_docs or 0) if total is None else float(total)
+    rate = F.coalesce(F.try_divide(F.col("weight") * wanted, F.lit(sums.weight or 0.0) * F.col("n_docs")), F.lit(0.0))
+    return sizes.select("source", "n_docs", rate.alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 7) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, pieces
 
 SEGMENTS, BUDGET = 8, 3
 #: A key shared by more fingerprints than this is dealt out as pairs of blocks of this size.
@@ -59,7 +59,7 @@ def fingerprint(body: bytes | None) -> int:
 
 
 def _fingerprint_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches, 2048):
         marks = np.fromiter((_signed(fingerprint(b.as_py())) for b in batch.column("body")), np.int64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks)], names=["doc_id", "fp"])
 
@@ -156,6 +156,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (any columns; doc_id, text needed) with one row of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs (any columns; doc_id, text needed) with one row of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows without doc_id can't be told apart afterwards; they all stay.
+    """
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, docs.doc_id.cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BITS = 20
 #: Most labelled rows a model is fitted on (chosen by a digest of doc_id); one task holds their features.
 MOST_ROWS = 8_000
@@ -21,7 +23,7 @@ MOST_ROWS = 8_000
 MOST_WORDS = 20_000
 THRESHOLD = 0.3
 #: Most words whose digests a worker remembers.
-_CACHE = 500_000
+_CACHE = 100_000
 STEMS = (5, 7)
 
 #: Bytes as words are told apart: ASCII letters in lower case, other ASCII but digits and apostrophes a space.
@@ -91,7 +93,7 @@ class Ftrl:
 def _fit_batches(settings: Settings):
     def fit(batches):
         rows = []
-        for batch in batches:
+        for batch in pieces(batches):
             for label, body in zip(batch.column("toxic").to_pylist(), batch.column("body"), strict=True):
                 body = b" ".join((body.as_py() or b"").split(None, MOST_WORDS)[:MOST_WORDS])
                 rows.append((label, np.r_[np.unique(features(body)), 1 << BITS].astype(np.int32)))
@@ -164,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def go(batches):
         weights, bias = dense()
-        for batch in batches:
+        for batch in pieces(batches):
             p = score_texts(weights, bias, batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
@@ -182,7 +184,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
 
     def go(batches):
         weights, bias = dense()
-        for batch in batches:
+        for batch in pieces(batches):
             bodies = [None if x is None else x.encode() for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(score_texts(weights, bias, bodies) < threshold))
 
