@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +36,8 @@ ARC_FIELDS = {
 }
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "20240101000000"
+#: Archives are read back once or twice, so they're compressed fast rather than small.
+_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Rows and bytes that a worker hands over at once, so that it holds little more than one file.
 _ROWS, _HELD = 128, 1 << 20
 
@@ -72,7 +75,7 @@ def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None
     sizes = rows.agg(F.sum(F.octet_length("html") + F.lit(400)), F.count("*")).first()
     per_file = max(1, int(file_bytes * sizes[1] / max(sizes[0] or 1, 1)))
     # one row more a file, for its description
-    rows.mapInArrow(_arc_rows(per_file), "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file + 1).text(path)
+    rows.mapInArrow(_arc_rows(per_file), "value string").write.option("lineSep", "\n").options(**_GZIP).option("maxRecordsPerFile", per_file + 1).text(path)
 
 
 def inflated(data: bytes) -> bytes:
@@ -124,7 +127,7 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.
 _RECORD_DDL = "page_id long, url string, date string, record_id string, http binary, head binary, payload_bytes long, payload_digest string"
 
 
-def _arc_batches(batches):
+def _arc_batches(batches, bodies: bool = True):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows, held = [], 0
@@ -134,11 +137,11 @@ def _arc_batches(batches):
                 name = hashlib.sha256(f"{path.rpartition('/')[2]}:{i}:{fields['URL']}:{digest}".encode()).hexdigest()
                 date = fields["Archive-date"].ljust(14, "0")
                 rows.append({
-                    "page_id": int(p) if (p := headers.get("x-page-id")) else None, "url": fields["URL"], "http": http, "head": http[: len(http) - len(body)], "payload_bytes": len(body), "payload_digest": digest,
+                    "page_id": int(p) if (p := headers.get("x-page-id")) else None, "url": fields["URL"], "http": http if bodies else None, "head": http[: len(http) - len(body)] if bodies else None, "payload_bytes": len(body), "payload_digest": digest,
                     "date": f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
                     "record_id": f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-8{name[17:20]}-{name[20:32]}>",
                 })
-                held += len(http)
+                held += len(http) if bodies else 0
                 if held > _HELD:
                     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
                     rows, held = [], 0
@@ -149,18 +152,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ARC files with what WARC asks for: page_id, url, date, record_id, http, head, payload_bytes, payload_digest (hex SHA-1)."""
-    return _files(spark, path).mapInArrow(_arc_batches, _RECORD_DDL)
+def read_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """Records of ARC files with what WARC asks for: page_id, url, date, record_id, http, head, payload_bytes, payload_digest (hex SHA-1).
+
+    Without bodies http and head are null: all that comparing payloads needs.
+    """
+    return _files(spark, path).mapInArrow(partial(_arc_batches, bodies=bodies), _RECORD_DDL)
 
 
-def with_revisits(records: DataFrame) -> DataFrame:
-    """Adds original (record_id of the response a record revisits, or null) and original_date.
+def with_revisits(records: DataFrame, slim: DataFrame | None = None) -> DataFrame:
+    """Adds original (record_id of the response a record revisits, or null) and original_date. slim: the same records without bodies.
 
     Of records with equal payloads of at least REVISIT_BYTES, those with the largest page_id are responses (all that share
     it; a null id is the smallest) and the others revisit the one of them with the smallest record id.
     """
-    big = records.filter(F.col("payload_bytes") >= REVISIT_BYTES)
+    big = (records if slim is None else slim).filter(F.col("payload_bytes") >= REVISIT_BYTES)
     best = big.groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"), F.max_by(F.struct("record_id", "date"), F.struct(F.coalesce("page_id", F.lit(-(2**63))), F.col("record_id"))).alias("response"))
     # a page of which there is one has nothing to revisit, so the join carries repeated digests only
     best = cut(best.filter("n > 1").select(F.col("payload_digest").alias("same"), "top", "response"))
@@ -187,7 +193,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("payload_digest")))), F.when(again, more).otherwise(F.lit("")), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    records.select(F.concat(head, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.concat(head, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").options(**_GZIP).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -238,8 +244,9 @@ def convert(pages: DataFrame, folder: str) -> DataFrame:
     Tables of any size, empty ones too; rows that are repeated make a record each. A null page_id stays null.
     """
     spark = pages.sparkSession
-    write_arc(pages, f"{folder}/arc")
-    write_warc(with_revisits(read_arc(spark, f"{folder}/arc")), f"{folder}/warc")
+    arc = f"{folder}/arc"
+    write_arc(pages, arc)
+    write_warc(with_revisits(read_arc(spark, arc), read_arc(spark, arc, bodies=False)), f"{folder}/warc")
     back = read_warc(spark, f"{folder}/warc")
     responses = back.filter("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
     used = back.filter("original is not null").select("original").distinct()
