@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import asof, cross_section, evaluation, labels, models, panel, rolling, schedules, signals
 from ..sources import library, market
 from ..streaming import windows as stream
-from . import catalog, dag
+from . import catalog, contracts, dag, signal_plan
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -503,6 +503,15 @@ def signal_join_outer(spark, sf):
     return _joined(spark, sf, True)
 
 
+@query(_JOINED.format("INNER").replace("SELECT security_id, session, round(m3, 6) AS m3, round(m6, 6) AS m6 FROM a INNER JOIN b USING (security_id, session)", "") + ", j AS (SELECT security_id, session, m3, m6 FROM a JOIN b USING (security_id, session)), z AS (SELECT *, CASE WHEN stddev_pop(m3) OVER s > 1e-12 THEN (m3 - avg(m3) OVER s) / stddev_pop(m3) OVER s END AS z3 FROM j WINDOW s AS (PARTITION BY session)) SELECT security_id, session, round(0.5 * z3 + 0.5 * m6, 6) AS score, z3 IS NOT NULL AS valid, CASE WHEN z3 IS NULL THEN 'MISSING_INPUT' END AS invalid_reason FROM z")
+def signal_plan_blend(spark, sf):
+    g = _scores(spark, sf)
+    raw = {"a": g.filter("m3 is not null and pos % 2 = 0").select(*KEYS, F.col("m3").alias("score")), "b": g.filter("m6 is not null and pos % 3 = 0").select(*KEYS, F.col("m6").alias("score"))}
+    n = contracts.SignalNode
+    plan = contracts.SignalPlanSpec((n("a", "raw"), n("b", "raw"), n("za", "daily_zscore", ("a",)), n("mix", "weighted_combine", ("za", "b"), (0.5, 0.5))), "mix")
+    return signal_plan.run_plan(plan, raw, reject=False).select(*KEYS, *_r("score"), "valid", "invalid_reason")
+
+
 @query(f"{_SIG}, t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY m3 DESC, security_id) AS rank FROM g WHERE m3 > 0) SELECT session, security_id, round(m3, 6) AS m3, rank FROM t WHERE rank <= 1")
 def signal_top1(spark, sf):
     return signals.top_k(_scores(spark, sf), 1, "m3").select("session", "security_id", *_r("m3"), "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
 from sightline.operators import asof, cross_section, evaluation, labels, models, panel, rolling, schedules, signals
-from sightline.plans import catalog, contracts, dag, experiment, experiments
+from sightline.plans import catalog, config, contracts, dag, experiment, experiments, signal_plan
 from sightline.sources import documents, facts, library
 from sightline.streaming import windows
 
@@ -475,6 +475,45 @@ def test_sequential_experiment(spark, tmp_path):
     assert sum(ic) / len(ic) > 0.8
 
 
+def test_signal_plans(spark):
+    day = D(2024, 1, 1)
+    make = lambda xs: spark.createDataFrame([(k, day, v) for k, v in xs.items()], "security_id string, session date, score double")
+    a, b = make({"A": 1.0, "B": 3.0, "C": 5.0}), make({"A": 2.0, "B": 0.0})
+    n = contracts.SignalNode
+    plan = lambda join: contracts.SignalPlanSpec((n("a", "raw"), n("b", "raw"), n("za", "daily_zscore", ("a",)), n("mix", "weighted_combine", ("za", "b"), (0.5, 0.5))), "mix", join)
+    inner = column(signal_plan.run_plan(plan("inner_on_security_session"), {"a": a, "b": b}), "score")
+    assert inner == [0.5, 0.5]  # z-scores of the joined rows, -1 and 1
+    outer = signal_plan.run_plan(plan("outer_on_security_session"), {"a": a, "b": b})
+    assert column(outer, "invalid_reason") == [None, None, "MISSING_INPUT"]
+    with pytest.raises(panel.PanelError):
+        signal_plan.run_plan(plan("inner_on_security_session"), {"a": a})
+    signal_plan.check_parents(outer, {"a": a})
+    with pytest.raises(panel.PanelError):
+        signal_plan.check_parents(outer, {"b": b.filter("security_id = 'A'")})
+    outcome = a.withColumnRenamed("score", "outcome")
+    out = {(r["sample"], r.signal): r.ic for r in signal_plan.compare({"x": a.withColumn("valid", F.lit(True)), "y": b.withColumn("valid", F.lit(True))}, outcome, minimum=2).collect()}
+    assert out == {("native", "x"): pytest.approx(1.0), ("native", "y"): pytest.approx(-1.0), ("common", "x"): pytest.approx(1.0), ("common", "y"): pytest.approx(-1.0)}
+
+
+def test_saved_models(spark, tmp_path):
+    p = panel_of(spark, {"x": lambda s, i: float(i % 10), "label": lambda s, i: float(i % 10 > 4), "member": lambda s, i: True}, 50)
+    model = models.fit(p, ["x"], "label", models.TrainingProfile(rounds=2, depth=2))
+    models.save_model(model, ["x"], str(tmp_path / "m"))
+    assert column(models.predict_saved(spark, str(tmp_path / "m"), p, ["x"]), "score") == column(models.predict(model, p, ["x"]), "score")
+    with pytest.raises(panel.PanelError):
+        models.predict_saved(spark, str(tmp_path / "m"), p, ["x", "label"])
+
+
+def test_configurations():
+    pytest.importorskip("yaml")
+    text = "snapshot: s@1\nfeatures: [ret1, KMID]\nlabel: {horizon: 3}\nschedule: {refit: 20, mature: 100}\ntraining: {rounds: 7}"
+    c = config.compile_config(text)
+    assert (c.features, c.label.horizon, c.refit, c.profile.rounds) == (("ret1", "KMID"), 3, 20, 7) and c.identity != config.compile_config(text.replace("7", "8")).identity
+    for bad in (text.replace("ret1", "nope"), text.replace("s@1", "latest"), text + "\nmore: 1", text.replace("horizon", "horizons"), text.replace("horizon: 3", "entry: close")):
+        with pytest.raises((documents.DocumentError, facts.SourceError, labels.LabelError)):
+            config.compile_config(bad)
+
+
 # streams
 
 
