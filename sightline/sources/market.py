@@ -28,8 +28,11 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = monthly_bars(table(spark, sf_dir, "lineitem"))
     sup = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     industry = sup.select(F.col("s_suppkey").alias("security_id"), F.col("n_regionkey").alias("industry"))
-    universe = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("security_id")).distinct()
-    full = grid(bars, calendar(bars), universe).join(industry, "security_id", "left")
+    lines = table(spark, sf_dir, "lineitem")
+    # from the lines and not from the bars, which would be made a second time for it
+    universe = lines.select(F.col("l_suppkey").alias("security_id")).distinct()
+    months = lines.select(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("session"))
+    full = grid(bars, calendar(months), universe).join(industry, "security_id", "left")
     return full.withColumn("member", (F.col("security_id") + F.col("pos")) % 7 != 0)
 
 
