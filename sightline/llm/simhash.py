@@ -5,6 +5,9 @@ then from some segment on every chain of l consecutive segments differs in at mo
 segments, at most one in the first five, at most two in the first seven. So two exact segments and two more of the next
 three make an equality key of 32 bits (24 keys a fingerprint); only fingerprints that share one meet, and a pair must keep
 within the chain's budgets before the full Hamming distance is taken.
+
+Texts with a Jaccard similarity of 0.8 differ in some ten of 64 bits, often in fifteen; no key that such a budget leaves is
+selective. The corpus stage therefore takes its candidates from bands of minima over the same kind of shingles.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import components, cut, pieces
 SEGMENTS, BUDGET = 8, 3
 #: A key shared by more fingerprints than this is dealt out as pairs of blocks of this size.
 BLOCK = 4096
+#: Most texts that are looked up by sending their digests to every executor.
+BROADCAST_IDS = 500_000
 _SEED = 42
 
 
@@ -155,11 +160,172 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (any columns; doc_id, text needed) with one row of each group of near-duplicates: the one with the smallest doc_id.
+#: The corpus stage: words in a shingle, and the least Jaccard similarity of the texts' sets of shingles.
+WIDTH, SIMILAR = 5, 0.8
+#: Texts meet that agree in all minima of a band. At a similarity of 0.8 no band agrees with probability 6e-5, at 0.9 with 1e-10.
+BANDS, MINIMA = 32, 6
+#: Most texts of a candidate group that one task compares with each other; larger groups are dealt out.
+GROUP = 256
+#: Most heads of larger groups whose texts are sent to every executor; more are joined by a shuffle.
+BROADCAST_HEADS = 2_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(_SEED).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ y) * _STEP
+    return x ^ x >> np.uint64(32)
+
+
+def shingles(body: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted 64-bit digests of the text's different shingles; of a text with fewer words, one of all of them."""
+    words = (body or b"").lower().split()
+    n = len(words) - width + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)] if words else [], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = _mixed(out, h[k : n + k])
+    return np.unique(out)
+
+
+def _bands(held: np.ndarray) -> np.ndarray:
+    """A key for each band of minima of the set; none for an empty set."""
+    if not len(held):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(held), 2048):  # long texts in bounded memory
+        least = np.minimum(least, ((held[at : at + 2048, None] ^ _FACTORS[1]) * _FACTORS[0]).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, MINIMA).T:
+        key = _mixed(key, column)
+    return key.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
+    """Whether two sets' Jaccard similarity is at least `similar`."""
+    if min(len(a), len(b)) < similar * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similar * (len(a) + len(b) - both) - 1e-9
+
+
+def _sketches(width: int):
+    def go(batches):
+        for batch in pieces(batches, 1024):
+            sets, keys = [], []
+            for b in batch.column("body"):
+                body = b.as_py()
+                sets.append(_signed(xxhash.xxh64_intdigest(b" ".join((body or b"").lower().split()), _SEED)))
+                keys.append(_bands(shingles(body, width)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "raw", "set_id", "keys"])
+
+    return go
+
+
+def _near_head(width: int, similar: float):
+    def go(batches):
+        last, head = None, None
+        for batch in pieces(batches):
+            near = []
+            for r in batch.to_pylist():
+                if r["root"] != last:
+                    last, head = r["root"], shingles(r["head"], width)
+                near.append(alike(head, shingles(r["body"], width), similar))
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(near, pa.bool_())], names=["root", "node", "near"])
+
+    return go
+
+
+def _alike_batches(width: int, similar: float):
+    """Links that span what is alike in each run of rows with one key; every text is compared once with those not yet reached."""
+
+    def span(held):
+        out, left = [], list(held)
+        while left:
+            queue, left = [left[0]], left[1:]
+            while queue and left:
+                one, rest = queue.pop(), []
+                for x in left:
+                    if alike(held[one], held[x], similar):
+                        out.append((one, x))
+                        queue.append(x)
+                    else:
+                        rest.append(x)
+                left = rest
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def go(batches):
+        last, held = None, {}
+        for batch in pieces(batches):
+            for r in batch.to_pylist():
+                if r["key"] != last:
+                    yield span(held)
+                    last, held = r["key"], {}
+                if r["node"] not in held:
+                    held[r["node"]] = shingles(r["body"], width)
+        yield span(held)
+
+    return go
+
+
+def similar_links(held: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that join all texts of a group that are alike. held: root (the group, its smallest node), node, body, one row a node.
+
+    A group of more than GROUP texts is first compared with its head; only texts that aren't alike to it are then compared
+    with all others, in pairs of blocks. A group of near copies thus costs one comparison a text, however large it is.
+    """
+    sizes = cut(held.groupBy("root").count().filter(F.col("count") > GROUP))
+    verify = _alike_batches(width, similar)
+    small = held.join(F.broadcast(sizes), "root", "left_anti").select(F.col("root").alias("key"), "node", "body")
+    out = small.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
+    many = sizes.count()
+    if not many:
+        return out
+    large = held.join(F.broadcast(sizes), "root")
+    heads = large.filter("node = root").select("root", F.col("body").alias("head"))
+    with_head = large.filter("node <> root").join(F.broadcast(heads) if many <= BROADCAST_HEADS else heads, "root").select("root", "node", "body", "head")
+    checked = cut(with_head.mapInArrow(_near_head(width, similar), "root long, node long, near boolean"))
+    out = out.unionByName(checked.filter("near").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    left = checked.filter(~F.col("near")).select("root", "node")
+    deal = cut(left.groupBy("root").agg(F.count("*").alias("n_left")).join(sizes, "root").select("root", F.ceil(F.col("n_left") / GROUP).cast("int").alias("nl"), F.ceil(F.col("count") / GROUP).cast("int").alias("na")))
+    own_left, own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("nl")).cast("int"), F.pmod(F.xxhash64("node"), F.col("na")).cast("int")
+    dealt = large.select("root", "node", "body").join(F.broadcast(deal), "root")
+    every = dealt.select("root", "node", "body", F.explode(F.expr("sequence(0, nl - 1)")).alias("i"), own.alias("j"))
+    some = dealt.join(left.select("node"), "node", "left_semi").select("root", "node", "body", own_left.alias("i"), F.explode(F.expr("sequence(0, na - 1)")).alias("j"))
+    blocks = every.unionByName(some).select(F.xxhash64("root", "i", "j").alias("key"), "node", "body")
+    return out.unionByName(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that links reach) for every row of docs (doc_id, text).
+
+    Two texts link when their sets of shingles of `width` words have a Jaccard similarity of at least `similar`: bands of
+    minima propose groups, and exact comparison decides. Texts of the same words are one set and never compared.
+    """
+    body = F.col("text").cast("binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), body.alias("body"))
+    marks = cut(slim.mapInArrow(_sketches(width), "doc_id long, raw long, set_id long, keys array<long>"))
+    first = marks.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("raw").alias("raw"), F.first("keys").alias("keys"))
+    keys = first.select("set_id", F.explode("keys").alias("key"))
+    low = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = components(keys.join(low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
+    wanted = cut(met.join(first.select("set_id", F.col("raw").alias("wanted")), F.col("node") == F.col("set_id")).select("root", "node", "wanted"))
+    small = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.xxhash64("text").alias("raw"), body.alias("body")).join(F.broadcast(wanted) if small else wanted, F.col("raw") == F.col("wanted"))
+    held = cut(texts.groupBy("root", "node").agg(F.min("body").alias("body")))
+    roots = components(similar_links(held, width, similar)).withColumnRenamed("root", "of")
+    placed = cut(first.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("of", "set_id").alias("of")))
+    least = placed.groupBy("of").agg(F.min("first").alias("component_id"))
+    return marks.select("doc_id", "set_id").join(placed.join(least, "of").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """docs (any columns; doc_id, text needed) with one row of each group of similar_groups(): the one with the smallest doc_id.
 
     Rows without doc_id can't be told apart afterwards; they all stay.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = similar_groups(docs, width, similar).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(kept, docs.doc_id.cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

@@ -286,6 +286,27 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert kept.columns == odd.columns and simhash.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [256, 4])
+def test_texts_of_similarity_080_are_dropped_and_others_stay(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    r = random.Random(16)
+    words = [f"w{i}" for i in range(3000)]
+    data, sets = [], []
+    for k in range(12):
+        text = [r.choice(words) for _ in range(150)]
+        for c in range(10):
+            own = list(text)
+            for at in r.sample(range(150), c):  # each replaced word breaks five shingles
+                own[at] = r.choice(words)
+            data.append((len(data), " ".join(own), "s"))
+            sets.append({tuple(own[i : i + 5]) for i in range(146)})
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    marks = [simhash.fingerprint(t.encode()) for _, t, _ in data]
+    assert sum((marks[a] ^ marks[b]).bit_count() > 3 for a, b in near) > 20
+    got = {x.doc_id for x in simhash.drop_near_duplicates(table(spark, data)).collect()}
+    assert got == set(groups(range(len(sets)), near).values())
+
+
 # op 7
 
 
