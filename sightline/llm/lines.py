@@ -20,7 +20,7 @@ BOUNDS = ((16, 1), (64, 2))
 LETTERS = "etaoinshrlducmfw"
 #: Most lines that are sent to every executor to look up their texts (about 30 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: The pipeline stage leaves a document to document-level dedup if more than this share of its characters would go.
+#: By default a document is left to document-level dedup if more than this share of its characters would go; the pipeline stage cuts all.
 WHOLE_SHARE = 0.5
 
 

@@ -486,6 +486,16 @@ def test_repeated_lines_are_cut_and_copies_left_whole(spark, none):
 # the pipeline
 
 
+def test_line_stage_cuts_repeated_lines_that_are_most_of_a_document(spark):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    shared, own = [" ".join(r.choice(VOCAB) for _ in range(30)) for _ in range(4)], "a short line that no other document has"
+    data = [(1, "\n".join(shared), "s"), (2, "\n".join([*shared, own]), "s"), (3, "\n".join(shared), "s")]
+    out = {x.doc_id: x.text for x in corpus_pipeline.repeated_lines(spark, table(spark, data), SF).collect()}
+    assert out == {1: data[0][1], 2: own}
+
+
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 
