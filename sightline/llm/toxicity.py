@@ -19,8 +19,8 @@ from .common import pieces
 BITS = 20
 #: Most labelled rows a model is fitted on (chosen by a digest of doc_id); one task holds their features.
 MOST_ROWS = 8_000
-#: Most words of a labelled text that are learned from; scores read whole texts.
-MOST_WORDS = 20_000
+#: Words of a labelled text that are hashed at a time.
+SLICE = 20_000
 THRESHOLD = 0.3
 #: Most words whose digests a worker remembers.
 _CACHE = 100_000
@@ -56,7 +56,21 @@ def features(body: bytes | None) -> np.ndarray:
 
     Stems are a word's first bytes, as many as STEMS says, so that inflected forms share their evidence.
     """
+    return _hashed((body or b"").translate(_TABLE).split())
+
+
+def present(body: bytes | None) -> np.ndarray:
+    """The different indices of features(), sorted; a long text is hashed in slices that overlap by two words."""
     words = (body or b"").translate(_TABLE).split()
+    if len(words) <= SLICE:
+        return np.unique(_hashed(words))
+    seen = np.zeros(1 << BITS, bool)
+    for at in range(0, len(words), SLICE):
+        seen[_hashed(words[at : at + SLICE + 2])] = True
+    return np.flatnonzero(seen)
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
     n = len(words)
     h = np.fromiter(map(_digests.__getitem__, words), np.uint64, n)
     parts = [h * _MIX[0]]
@@ -95,8 +109,7 @@ def _fit_batches(settings: Settings):
         rows = []
         for batch in pieces(batches):
             for label, body in zip(batch.column("toxic").to_pylist(), batch.column("body"), strict=True):
-                body = b" ".join((body.as_py() or b"").split(None, MOST_WORDS)[:MOST_WORDS])
-                rows.append((label, np.r_[np.unique(features(body)), 1 << BITS].astype(np.int32)))
+                rows.append((label, np.r_[present(body.as_py()), 1 << BITS].astype(np.int32)))
         model = Ftrl(settings)
         for _ in range(settings.passes):
             for label, at in rows:

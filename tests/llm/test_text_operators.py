@@ -195,6 +195,21 @@ def test_toxicity_of_odd_rows_and_without_labels(spark, odd, none):
     assert toxicity.score(none, labels).count() == 0
 
 
+def test_words_at_the_end_of_a_very_long_text_are_learned(spark, monkeypatch):
+    r = random.Random(18)
+    long = " ".join(f"w{r.randrange(500)}" for _ in range(45_000)) + " awful wording"
+    assert (toxicity.present(long.encode()) == np.unique(toxicity.features(long.encode()))).all()
+    for size in (1, 2, 7):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        assert (toxicity.present(b"one two three four five six seven eight") == np.unique(toxicity.features(b"one two three four five six seven eight"))).all()
+    monkeypatch.undo()
+    clean = "plain " * 20_000
+    docs = table(spark, [(i, clean + ("awful wording" if i % 2 else "fine prose"), "s") for i in range(120)] + [(1000, "awful wording", "s"), (1001, "fine prose", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    score = {x.doc_id: x.score for x in toxicity.score(docs, labels).collect()}
+    assert score[1000] > score[1001] + 0.2
+
+
 # op 4
 
 
