@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, chat, chunks, decontaminate, licenses, lines, mixing, rules, simhash, toxicity
-from .common import scratch
+from .common import cut, scratch
 
 #: A tokenizers JSON file; where there is none, code points are the tokens.
 TOKENIZER = os.environ.get("SIGHTLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -49,9 +49,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of every document in its new place, without its text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mixing.replicate(docs).select("doc_id", "source", "n_chars", F.col("replica").cast("long").alias("replica"), F.round("rate", 9).alias("rate"), "mix_key")
+    """Every copy of every document in its new place. Whole documents are copied, shuffled and written; the columns are read from that."""
+    mixed = cut(mixing.replicate(_table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "source", "n_chars", F.col("replica").cast("long").alias("replica"), F.round("rate", 9).alias("rate"), "mix_key")
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

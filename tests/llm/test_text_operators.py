@@ -350,6 +350,17 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.replicate(none).count() == 0
 
 
+def test_registered_mix_moves_whole_documents(spark, monkeypatch):
+    from sightline.llm import queries
+
+    kept = []
+    monkeypatch.setattr(queries, "cut", lambda df: kept.append(common.cut(df)) or kept[-1])
+    out = queries.op7_poisson_mix(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(docs.columns) <= set(kept[0].columns)
+    assert out.count() == kept[0].join(docs, docs.columns, "left_semi").count() > 0
+
+
 # op 8
 
 
