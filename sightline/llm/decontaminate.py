@@ -202,6 +202,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _without(body: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these spans of words."""
+    places = [m.span() for m in _WORD.finditer(body.translate(_TABLE))]
+    at, parts = 0, []
+    for s, e in spans:
+        parts.append(body[at : places[s][0]])
+        at = places[e - 1][1]
+    return b"".join([*parts, body[at:]])
+
+
 def cleaned(body: bytes, machine: Automaton, limits: Limits) -> bytes | None:
     """The text without its hit spans, until none is left; None where they cover too much of it."""
     words = words_of(body)
@@ -214,36 +224,99 @@ def cleaned(body: bytes, machine: Automaton, limits: Limits) -> bytes | None:
         removed += sum(e - s for s, e in spans)
         if removed > limits.coverage * total:
             return None
-        places = [m.span() for m in _WORD.finditer(body.translate(_TABLE))]
-        at, parts = 0, []
-        for s, e in spans:
-            parts.append(body[at : places[s][0]])
-            at = places[e - 1][1]
-        body = b"".join([*parts, body[at:]])
+        body = _without(body, spans)
         words = words_of(body)
 
 
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _replaced(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(name)
+    columns = batch.columns
+    columns[at] = pa.array(values, batch.schema.field(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+def _marked(docs: DataFrame, shared) -> DataFrame:
+    """docs with this automaton's hits added to __spans."""
+
+    def go(batches):
+        machine = shared.value
+        for batch in pieces(batches):
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                hit, _, _ = machine.scan(words_of(None if text is None else text.encode()))
+                for s in spans:
+                    hit[s["start"] : s["end"]] = True
+                out.append([{"start": s, "end": e} for s, e in _runs(hit)])
+            yield _replaced(batch, "__spans", out)
+
+    return docs.mapInArrow(go, docs.schema)
+
+
+def _shortened(docs: DataFrame, limits: Limits) -> DataFrame:
+    """docs without the texts' __spans; __removed counts them, __state is 0 where there were none, 1 after a cut, 2 beyond the coverage."""
+
+    def go(batches):
+        for batch in pieces(batches):
+            texts, removed, states = [], [], []
+            names = ("text", "__spans", "__total", "__removed")
+            for text, spans, total, before in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                body = None if text is None else text.encode()
+                total = len(words_of(body)) if total is None else total
+                cuts = [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= limits.min_words]
+                gone = before + sum(e - s for s, e in cuts)
+                state = 0 if not cuts else 2 if gone > limits.coverage * total else 1
+                texts.append(_without(body, cuts).decode() if state == 1 else text)
+                removed.append((total, gone))
+                states.append(state)
+            for name, values in (("text", texts), ("__spans", [[]] * len(texts)), ("__total", [t for t, _ in removed]), ("__removed", [g for _, g in removed]), ("__state", states)):
+                batch = _replaced(batch, name, values)
+            yield batch
+
+    return docs.mapInArrow(go, docs.schema)
+
+
+def _over_shards(docs: DataFrame, benchmark: DataFrame, limits: Limits, most: int) -> DataFrame:
+    """What cleaned() does with one automaton of all items: a round marks the hits of every shard, then cuts; rounds go on until none hits."""
+    spark = docs.sparkSession
+    started = {"__total": F.lit(None).cast("long"), "__removed": F.lit(0).cast("long"), "__state": F.lit(1)}
+    live = docs.withColumns(started | {"__spans": F.array().cast(_SPANS)})
+    done = None
+    while True:
+        for items in shards(benchmark, most):
+            live = cut(_marked(live, spark.sparkContext.broadcast(Automaton(items))))
+        live = cut(_shortened(live, limits))
+        ready = live.filter("__state = 0")
+        done = ready if done is None else done.unionByName(ready)
+        live = live.filter("__state = 1")
+        if live.isEmpty():
+            return done.select(*docs.columns)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), most: int = SHARD_WORDS) -> DataFrame:
     """docs with the same columns: hit spans cut out of text (n_chars follows, where there is one), documents beyond the coverage limit left out.
 
-    Null texts stay null. Several shards of items are applied one after the other.
+    Null texts stay null. The result doesn't depend on how many shards the items make.
     """
-    spark, out = docs.sparkSession, docs
-    for items in shards(benchmark, most):
+    spark = docs.sparkSession
+    each = shards(benchmark, most)
+    items = next(each)
+    if next(each, None) is not None:
+        out = _over_shards(docs, benchmark, limits, most)
+    else:
         shared = spark.sparkContext.broadcast(Automaton(items))
 
-        def go(batches, shared=shared):
+        def go(batches):
             machine = shared.value
             for batch in pieces(batches):
-                at = batch.schema.get_field_index("text")
-                old = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
+                old = [None if x is None else x.encode() for x in batch.column("text").to_pylist()]
                 new = [None if b is None else cleaned(b, machine, limits) for b in old]
                 keep = pa.array([b is not None or a is None for a, b in zip(old, new, strict=True)])
-                columns = batch.columns
-                columns[at] = pa.array([None if b is None else b.decode() for b in new], batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+                yield _replaced(batch, "text", [None if b is None else b.decode() for b in new]).filter(keep)
 
-        out = out.mapInArrow(go, docs.schema)
+        out = docs.mapInArrow(go, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

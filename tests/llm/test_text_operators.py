@@ -442,6 +442,21 @@ def test_passages_are_cut_and_mostly_contaminated_documents_go(spark, odd, none)
     assert decontaminate.contamination(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_is_the_same_over_one_and_many_shards(spark, odd):
+    r = random.Random(19)
+    say = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    items = [say(12) for _ in range(6)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    data = [(101, " ".join([*items[0], *say(3), *items[5], *say(3)]), "s")]  # 40 % of each, 80 % together
+    data += [(102, " ".join([*say(40), *items[5][:6], *items[0], *items[5][6:], *say(40)]), "s")]  # a cut of one joins another
+    data += [(103, " ".join([*say(40), *items[0][:6], *items[5], *items[0][6:], *say(40)]), "s"), (104, " ".join(say(50)), "s")]
+    data += [(110 + k, " ".join([*say(30), *(w for x in r.sample(items, k % 4) for w in x), *say(10)]), "s") for k in range(20)]
+    docs = table(spark, data).unionByName(odd)
+    one = rows(decontaminate.decontaminate(docs, bench))
+    assert rows(decontaminate.decontaminate(docs, bench, most=12)) == one
+    assert 101 not in {x[0] for x in one} and 104 in {x[0] for x in one}
+
+
 # op 10
 
 
