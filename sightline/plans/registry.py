@@ -658,10 +658,16 @@ def _model_rows(spark, sf):
 
 @query()
 def fold_fit_predict(spark, sf):
-    rows, features = _model_rows(spark, sf)
+    """Predictions of the default profile for every session from the first that 33 precede, refitted every 20; labels of 3 sessions are complete before the fold."""
+    nodes, outputs = catalog.stock_catalog()
+    p = _panel(spark, sf)
+    rows = dag.compile_plan(p, nodes, outputs).join(labels.forward_labels(p, 3).select(*KEYS, "member", F.col("return").alias("label")), KEYS)
     days = [r.session for r in rows.select("session").distinct().orderBy("session").collect()]
-    folds = [{"name": f"fold{i}", "train_from": days[a], "train_to": days[a + 23], "predict_from": days[a + 27], "predict_to": days[a + 30]} for i, a in enumerate((6, 16))]
-    return models.run_folds(rows, folds, features, "label", models.TrainingProfile(rounds=5, depth=3))
+    folds = []
+    for f in schedules.periodic_folds(rows.select("session").distinct(), 20, 30, 4).orderBy("fold").collect():
+        first = f["fit_pos"] - 1
+        folds.append({"name": f"fold{f['fold']}", "train_from": days[first - f["train_length"]], "train_to": days[first - 4], "predict_from": f["first_trade"], "predict_to": f["last_trade"]})
+    return models.run_folds(rows, folds, outputs, "label")
 
 
 @query(days="")

@@ -539,3 +539,17 @@ def test_ingest_keeps_every_version(spark, tmp_path):
     versions = spark.read.parquet(str(tmp_path / "out"))
     known = lambda day: windows.as_known(versions, ["security_id", "session"], f"2024-01-0{day} 20:00:00").collect()
     assert [known(d)[0].value for d in (2, 3)] == [1.0, 2.0]
+
+
+def test_registered_folds_reach_the_last_session(spark, monkeypatch):
+    from sightline.plans import catalog, registry
+
+    got = []
+    monkeypatch.setattr(registry.models, "run_folds", lambda rows, folds, features, label, *more: got.append((folds, features, more)) or rows)
+    rows = registry.QUERIES["fold_fit_predict"](spark, "/root/testdata/sf0.001")
+    days = [r.session for r in rows.select("session").distinct().orderBy("session").collect()]
+    folds, features, more = got[0]
+    assert features == catalog.stock_catalog()[1] and not more
+    at = [(days.index(str(f["train_to"])), days.index(str(f["predict_from"])), days.index(str(f["predict_to"]))) for f in folds]
+    assert all(to + 3 < first for to, first, _ in at)
+    assert [p for _, first, last in at for p in range(first, last + 1)] == list(range(33, len(days)))
