@@ -3,13 +3,16 @@
 import datetime as dt
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
 from sightline.operators import asof, cross_section, evaluation, labels, models, panel, rolling, schedules, signals
-from sightline.plans import catalog, config, contracts, dag, experiment, experiments, signal_plan
+from sightline.plans import catalog, config, contracts, dag, experiment, experiments, registry, signal_plan
 from sightline.sources import documents, facts, library
 from sightline.streaming import windows
 
@@ -391,12 +394,17 @@ def test_documents_are_strict():
         {"pointer": "/a", "before": 1, "after": None, "before_present": True, "after_present": False},
         {"pointer": "/b~1c/d", "before": 2, "after": 3, "before_present": True, "after_present": True},
     ]
+    pointers = lambda a, b: [(x["pointer"], x["before_present"], x["after_present"]) for x in documents.differences(a, b)]
+    assert pointers({"l": [1, {"x": 1}], "m": [1]}, {"l": [2, {"x": 1.0}], "m": [1, 2]}) == [("/l/0", True, True), ("/l/1/x", True, True), ("/m", True, True)]
+    assert pointers({"a": {"b": {"c": 1}}}, {"a": {"z": {"c": 1}}}) == [("/a/b", True, False), ("/a/z", False, True)]
+    assert pointers(1, True) == [("", True, True)] and pointers({"a": None}, {}) == [("/a", True, False)] and pointers([], []) == []
 
 
 def test_yaml_subset():
     pytest.importorskip("yaml")
     assert documents.load_yaml("day: 2024-01-02\nn: 3\nl: [1, x]") == {"day": "2024-01-02", "n": 3, "l": [1, "x"]}
-    for bad in ("a: 1\na: 2", "a: &x 1\nb: *x", "b: {<<: {c: 1}}", "x" * (documents.MOST_YAML + 1)):
+    assert documents.load_yaml("a: {b: [{c: 1}, {c: 2}], d: null}\n1: yes") == {"a": {"b": [{"c": 1}, {"c": 2}], "d": None}, "1": True}
+    for bad in ("a: 1\na: 2", "a: &x 1\nb: *x", "b: {<<: {c: 1}}", "? [a]\n: 1", "a: !!binary aGk=", "a: !!python/none ''", "x" * (documents.MOST_YAML + 1)):
         with pytest.raises(documents.DocumentError):
             documents.load_yaml(bad)
 
@@ -553,3 +561,13 @@ def test_registered_folds_reach_the_last_session(spark, monkeypatch):
     at = [(days.index(str(f["train_to"])), days.index(str(f["predict_from"])), days.index(str(f["predict_to"]))) for f in folds]
     assert all(to + 3 < first for to, first, _ in at)
     assert [p for _, first, last in at for p in range(first, last + 1)] == list(range(33, len(days)))
+
+
+# the entry
+
+
+def test_entry_without_what_the_text_queries_need():
+    hide = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['{0}'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = lambda name: subprocess.run([sys.executable, "-c", hide.format(name)], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout.split()
+    want = [str(len(registry.QUERIES)), str(len(registry.ORACLE))]
+    assert run("sightline.llm.queries") == run("xxhash") == run("corpus_pipeline") == want
