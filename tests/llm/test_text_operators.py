@@ -485,11 +485,18 @@ def edited(text, n, r):
     return "".join(out)
 
 
-def test_line_classes_against_brute_force(spark):
+@pytest.mark.parametrize("dense", [16, 3])
+def test_line_classes_against_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(lines, "DENSE", dense)
+    if dense == 3:
+        monkeypatch.setattr(lines, "SAMPLE", 1)
+        monkeypatch.setattr(lines, "ROW", 0)
     r = random.Random(12)
     base = [" ".join(r.choice(VOCAB) for _ in range(r.choice([2, 4, 6, 14, 20]))) for _ in range(60)]
     every = base + [edited(r.choice(base), r.randrange(4), r) for _ in range(240)]
-    data = [*((i, "\n".join(r.sample(every, 6)) + "\n ", "s") for i in range(100, 160)), *((i, t and t[:400], s) for i, t, s in ODD)]
+    for form in ("Order no. {} was sent", "{} is the number of an order", "a line of more than sixty-four characters in which {} stands for a number, and little else"):
+        every += [edited(form.format("".join(r.choice("01") for _ in range(7))), r.randrange(2), r) for _ in range(60)]
+    data = [*((i, "\n".join(r.sample(every, 9)) + "\n ", "s") for i in range(100, 160)), *ODD]
     out = lines.line_classes(table(spark, data)).collect()
     body = {}
     for i, t, _ in data:
@@ -514,13 +521,23 @@ def test_line_classes_against_brute_force(spark):
         assert (x.class_doc, x.class_line, x.n_links) == (*head, degree[line]) and x.kept == (head in ((x.doc_id, x.line_no), (None, None)))
 
 
+def test_lines_of_one_template_make_no_pairs_but_near_ones(spark):
+    r = random.Random(20)
+    for n in (1500, 6000):
+        made = [("Copyright 2024 Example Corporation " + "".join(r.choice("0123456789") for _ in range(20)),) for _ in range(n)]
+        made += [(f"In a long line that all have in common the number {r.getrandbits(60):015x} alone tells one of them from the others, wherever they stand",) for _ in range(n)]
+        near = [(x[0][:-1] + ("1" if x[0][-1] == "0" else "0"),) for x in made[:50]]
+        found = lines.candidates(spark.createDataFrame(made + near, "text string")).count()
+        assert 50 <= found < 50 + n // 20
+
+
 def test_repeated_lines_are_cut_and_copies_left_whole(spark, none):
     line, long = "a line that many documents share word for word", prose(60).replace("\n", " ")
     data = [(1, f"{line}\nfirst of its own {long}", "s"), (2, f"second of its own {long[:90]}\n\n{line}", "s"), (3, f"{line}\n", "s"), (4, None, "s")]
-    out = {r.doc_id: r for r in lines.drop_repeated_lines(table(spark, data)).collect()}
+    out = {r.doc_id: r for r in lines.drop_repeated_lines(table(spark, data), 0.5).collect()}
     assert out[1].text == data[0][1] and out[2].text == data[1][1][: -len(line) - 1] and out[2].n_chars == len(out[2].text)
     assert out[3].text == data[2][1] and out[4].text is None
-    every = {r.doc_id: r for r in lines.drop_repeated_lines(table(spark, data), 1.0).collect()}
+    every = {r.doc_id: r for r in lines.drop_repeated_lines(table(spark, data)).collect()}
     assert every[3].text == "" and lines.drop_repeated_lines(none).count() == 0
 
 
