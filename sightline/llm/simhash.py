@@ -12,6 +12,7 @@ selective. The corpus stage therefore takes its candidates from bands of minima
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -20,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, pieces
+from .common import beside, components, cut, pieces
 
 SEGMENTS, BUDGET = 8, 3
-#: A key shared by more fingerprints than this is dealt out as pairs of blocks of this size.
+#: A key shared by more fingerprints than this is made longer twice, and then dealt out as pairs of blocks of this size.
 BLOCK = 4096
 #: Most texts that are looked up by sending their digests to every executor.
 BROADCAST_IDS = 500_000
@@ -125,22 +126,50 @@ def _linked(batches):
     yield from runs(rest_k, rest_f)
 
 
+def _pieces(mask: int) -> list[int]:
+    """The mask's bits in BUDGET + 1 parts; three differing bits leave one of them alike."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    n = len(bits)
+    return [sum(1 << b for b in bits[n * j // (BUDGET + 1) : n * (j + 1) // (BUDGET + 1)]) for j in range(BUDGET + 1)]
+
+
+def _longer(keys: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, key, at for each part of what a key hasn't used yet. at: which part a key took last; masks: by at, the parts to choose from."""
+    table = F.array(*(F.array(*(F.lit(_signed(x)) for x in _pieces(m))) for m in masks))
+    each = keys.select("fp", "key", "at", F.posexplode(F.get(table, F.col("at"))).alias("j", "mask"))
+    key = F.xxhash64("key", "j", F.col("fp").bitwiseAND(F.col("mask"))).bitwiseAND(F.lit(-32)).bitwiseOR(F.col("key").bitwiseAND(F.lit(31)))
+    return each.select("fp", key.alias("key"), (F.col("at") * (BUDGET + 1) + F.col("j")).alias("at"))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between different fingerprints at most three bits apart, enough of them to join all that are linked.
 
-    prints: one column fp, distinct. A key that many fingerprints share is dealt out as pairs of blocks, so no task holds it alone.
+    prints: one column fp, distinct. What a frequent key hasn't used is cut into four parts of which a link leaves one alike; so
+    it becomes four longer keys, and each of these once more. A key of 46 bits that is still frequent holds at most 2 ** 18
+    fingerprints and is dealt out as pairs of blocks, so no task holds it alone.
     """
     tagged = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(-32)).bitwiseOR(F.lit(k)) for k, m in enumerate(KEY_MASKS)]
-    keys = prints.select("fp", F.explode(F.array(*tagged)).alias("key"))
-    heavy = cut(keys.groupBy("key").count().filter(F.col("count") > BLOCK))
-    if not heavy.isEmpty():
-        blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        spread = keys.join(heavy, "key", "left").select("fp", "key", blocks.alias("n"), own.alias("own"))
-        pairs = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.expr("sequence(0, n - 1)"))
-        spread = spread.select("fp", "key", "own", F.explode(pairs).alias("other"))
-        mixed = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-32)).bitwiseOR(F.col("key").bitwiseAND(F.lit(31)))
-        keys = spread.select("fp", F.when(F.col("other") < 0, F.col("key")).otherwise(mixed).alias("key"))
+    keys = prints.select("fp", F.posexplode(F.array(*tagged)).alias("at", "key")).select("fp", "key", "at")
+    masks, done = [~m & (1 << 64) - 1 for m in KEY_MASKS], []
+    for _ in range(2):
+        heavy = cut(keys.groupBy("key").count().filter(F.col("count") > BLOCK))
+        if heavy.isEmpty():
+            break
+        few = F.broadcast(heavy.select("key")) if heavy.count() <= BROADCAST_IDS else heavy.select("key")
+        done.append(keys.join(few, "key", "left_anti").select("fp", "key"))
+        keys = cut(_longer(keys.join(few, "key", "left_semi"), masks))
+        masks = [m & ~x for m in masks for x in _pieces(m)]
+    else:
+        heavy = cut(keys.groupBy("key").count().filter(F.col("count") > BLOCK))
+        if not heavy.isEmpty():
+            blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+            own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+            spread = keys.join(heavy, "key", "left").select("fp", "key", blocks.alias("n"), own.alias("own"))
+            pairs = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.expr("sequence(0, n - 1)"))
+            spread = spread.select("fp", "key", "own", F.explode(pairs).alias("other"))
+            mixed = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-32)).bitwiseOR(F.col("key").bitwiseAND(F.lit(31)))
+            keys = spread.select("fp", F.when(F.col("other") < 0, F.col("key")).otherwise(mixed).alias("key"))
+    keys = reduce(DataFrame.union, [*done, keys.select("fp", "key")])
     return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked, "a long, b long")
 
 
@@ -156,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(first.select("fp")))
     placed = cut(first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = placed.join(least, "root").select("fp", "component_id")
+    final = beside(placed, least, "root").select("fp", "component_id")
     return marks.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -298,34 +327,50 @@ def similar_links(held: DataFrame, width: int = WIDTH, similar: float = SIMILAR)
     return out.unionByName(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that links reach) for every row of docs (doc_id, text).
-
-    Two texts link when their sets of shingles of `width` words have a Jaccard similarity of at least `similar`: bands of
-    minima propose groups, and exact comparison decides. Texts of the same words are one set and never compared.
-    """
+def _grouped(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, raw, set_id of every row; set_id, of, first of every set of shingles): of names the group, first is its first row (none, doc_id, raw), ids before nulls."""
     body = F.col("text").cast("binary")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), body.alias("body"))
+    raw = F.xxhash64("text").alias("raw")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw, body.alias("body"))
     marks = cut(slim.mapInArrow(_sketches(width), "doc_id long, raw long, set_id long, keys array<long>"))
-    first = marks.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("raw").alias("raw"), F.first("keys").alias("keys"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
+    first = cut(marks.groupBy("set_id").agg(F.min(row).alias("first"), F.first("keys").alias("keys")))
     keys = first.select("set_id", F.explode("keys").alias("key"))
     low = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = components(keys.join(low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
-    wanted = cut(met.join(first.select("set_id", F.col("raw").alias("wanted")), F.col("node") == F.col("set_id")).select("root", "node", "wanted"))
+    met = components(beside(keys, low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
+    wanted = cut(met.join(first.select("set_id", F.col("first.raw").alias("wanted")), F.col("node") == F.col("set_id")).select("root", "node", "wanted"))
     small = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.xxhash64("text").alias("raw"), body.alias("body")).join(F.broadcast(wanted) if small else wanted, F.col("raw") == F.col("wanted"))
+    texts = docs.select(raw, body.alias("body")).join(F.broadcast(wanted) if small else wanted, F.col("raw") == F.col("wanted"))
     held = cut(texts.groupBy("root", "node").agg(F.min("body").alias("body")))
     roots = components(similar_links(held, width, similar)).withColumnRenamed("root", "of")
-    placed = cut(first.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("of", "set_id").alias("of")))
-    least = placed.groupBy("of").agg(F.min("first").alias("component_id"))
-    return marks.select("doc_id", "set_id").join(placed.join(least, "of").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    return marks, cut(first.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("of", "set_id").alias("of"), "first"))
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that links reach, null if there's none) for every row of docs (doc_id, text).
+
+    Two texts link when their sets of shingles of `width` words have a Jaccard similarity of at least `similar`: bands of
+    minima propose groups, and exact comparison decides. Texts of the same words are one set and never compared; texts without
+    words are one set too.
+    """
+    marks, sets = _grouped(docs, width, similar)
+    least = sets.groupBy("of").agg(F.min("first.doc_id").alias("component_id"))
+    final = beside(sets.select("set_id", "of"), least, "of").select("set_id", "component_id")
+    return beside(marks.select("doc_id", "set_id"), final, "set_id").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
-    """docs (any columns; doc_id, text needed) with one row of each group of similar_groups(): the one with the smallest doc_id.
+    """docs (any columns; doc_id, text needed) with one row of each group of similar_groups().
 
-    Rows without doc_id can't be told apart afterwards; they all stay.
+    It's the row with the smallest doc_id; of rows that share it, or have none, the one with the smallest digest of its text;
+    rows without doc_id stand behind all others. Of rows with the same doc_id and text one stays. A table may be empty.
     """
-    kept = similar_groups(docs, width, similar).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs.doc_id.cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    marks, sets = _grouped(docs, width, similar)
+    kept = sets.groupBy("of").agg(F.min("first").alias("row")).select(F.col("row.doc_id").alias("__id"), F.col("row.raw").alias("__raw"))
+    again = marks.groupBy(F.col("doc_id").alias("__again"), F.col("raw").alias("__of")).count().filter("count > 1")
+    once = F.col("__again").eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__raw"))
+    kept = cut(kept.join(again, once, "left").select("__id", "__raw", F.col("count").isNotNull().alias("__more")))
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__raw"))
+    single = docs.join(kept.filter("not __more"), here, "left_semi")
+    more = kept.filter("__more")
+    return single if more.isEmpty() else single.unionByName(docs.join(more, here).dropDuplicates(["__id", "__raw"]).select(docs.columns))
