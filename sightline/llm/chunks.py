@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import beside, pieces
 
 #: Bytes of a chunk: least, most, and the bits of the hash that must be zero (mean about LEAST + 2 ** BITS).
 LEAST, MOST, BITS = 16, 128, 5
@@ -91,27 +91,29 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, body_id, n_repeated (chunks that stand elsewhere too), later (start, end of those that stand earlier elsewhere).
+    """doc_id, body_id, repeated (start, end, later of the chunks that stand elsewhere too; later: not their first occurrence).
 
-    Only texts with a repeated chunk have a row. Of a digest's occurrences the first by doc_id and start stays.
-    Counting combines before it shuffles, so a chunk in a third of all texts is one row a task.
+    Only texts with a repeated chunk have a row; rows that are repeated have one together. Of a digest's occurrences the first
+    by doc_id and start stays. Counting combines before it shuffles, so a chunk in a third of all texts is one row a task, and
+    the join with the first occurrences can be split.
     """
     rows = chunks(docs)
-    place = F.struct("doc_id", "start")
-    often = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
-    twice = rows.join(often, "digest").select("doc_id", "body_id", "start", "end", (~place.eqNullSafe(F.col("first"))).alias("later"))
-    each = F.struct("start", "end")
-    return twice.groupBy("doc_id", "body_id").agg(F.count("*").alias("n_repeated"), F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("later"), each)))).alias("later"))
+    # in one number, so that a hash aggregation can keep it; null for a null doc_id
+    place = F.expr("cast(cast(doc_id as decimal(20,0)) * 4294967296 + start as decimal(31,0))")
+    often = rows.select("digest", place.alias("place")).groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1").select("digest", "first")
+    each = F.struct("start", "end", (~place.eqNullSafe(F.col("first"))).alias("later"))
+    return beside(rows, often, "digest").groupBy("doc_id", "body_id").agg(F.array_sort(F.collect_set(each)).alias("repeated"))
 
 
-def runs(later: list[dict]) -> list[dict]:
-    """Adjoining chunks as one span each, of those at least RUN long."""
+def runs(chunks_: list[dict]) -> list[dict]:
+    """Adjoining chunks as one span each (start, end, n chunks), of those at least RUN long."""
     out: list[dict] = []
-    for x in later:
+    for x in chunks_:
         if out and out[-1]["end"] == x["start"]:
             out[-1]["end"] = x["end"]
+            out[-1]["n"] += 1
         else:
-            out.append({"start": x["start"], "end": x["end"]})
+            out.append({"start": x["start"], "end": x["end"], "n": 1})
     return [x for x in out if x["end"] - x["start"] >= RUN]
 
 
@@ -119,11 +121,13 @@ def _cut_batches(batches):
     for batch in pieces(batches):
         rows = []
         for r in batch.to_pylist():
-            body, at, parts, spans = r["body"], 0, [], runs(r["later"] or [])
+            body, at, parts, repeated = r["body"], 0, [], r["repeated"] or []
+            spans = runs([x for x in repeated if x["later"]])
             for s in spans:
                 parts.append(body[at : s["start"]])
                 at = s["end"]
-            rows.append({"doc_id": r["doc_id"], "n_bytes": len(body or b""), "n_repeated": r["n_repeated"], "spans": spans, "text": None if body is None else b"".join([*parts, body[at:]]).decode()})
+            text = None if body is None else b"".join([*parts, body[at:]]).decode()
+            rows.append({"doc_id": r["doc_id"], "n_bytes": len(body or b""), "n_repeated": sum(x["n"] for x in runs(repeated)), "spans": [{"start": s["start"], "end": s["end"]} for s in spans], "text": text})
         yield pa.RecordBatch.from_pylist(rows, schema=_KEPT)
 
 
@@ -134,11 +138,13 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_repeated
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_repeated, spans (removed bytes, end exclusive), text (what is left) for every row of docs.
 
-    A null text stays null, an empty one has no chunks. Rows that share doc_id are one document for the order: what stands
-    first in it stays in each of them. An exact copy of an earlier text loses everything but a last run shorter than RUN.
+    n_repeated counts the chunks in runs of at least RUN bytes of chunks that stand elsewhere too, first occurrences included;
+    what is shorter is a common phrase. A null text stays null, an empty one has no chunks. Rows that share doc_id are one
+    document for the order: what stands first in it stays in each of them. Rows without doc_id come last, and of a passage that
+    stands in such rows alone every copy stays. Repeated rows come back as often. An exact copy of an earlier text loses
+    everything but a last run shorter than RUN.
     """
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("d"), F.col("body_id").alias("b"), "n_repeated", "later")
+    spans = repeated_spans(docs).select(F.col("doc_id").alias("d"), F.col("body_id").alias("b"), "repeated")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body_id"), F.col("text").cast("binary").alias("body"))
     both = slim.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body_id") == F.col("b")), "left")
-    rows = both.select("doc_id", "body", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), "later")
-    return rows.mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_repeated long, spans array<struct<start:int,end:int>>, text string")
+    return both.select("doc_id", "body", "repeated").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_repeated long, spans array<struct<start:int,end:int>>, text string")
