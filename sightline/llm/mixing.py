@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 #: Means above this are drawn as a sum of equal parts, so exp(-mean) stays well above the smallest double.
 PART = 8.0
 #: Terms of the inverse; at a mean of PART the mass beyond them is below 2 ** -60.
@@ -60,18 +62,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 7) -> DataFrame:
     """docs' columns plus replica (0, 1, ...), rate and mix_key, one row a copy, globally sorted by mix_key.
 
-    docs: doc_id and source are needed. Rows that share doc_id get the same number of copies each; null ids share one draw.
-    mix_key is a digest of seed, doc_id and replica, so the order is a uniform shuffle with no relation to source. Where docs
-    has columns of these names they are replaced.
+    docs: doc_id and source are needed. Rows that share doc_id get the same number of copies each; rows without one are told
+    apart by their text, if there is one. mix_key is a digest of seed, doc_id and replica, so the order is a uniform shuffle
+    with no relation to source. Where docs has columns of these names they are replaced. A table may be empty.
     """
     docs = docs.drop("replica", "rate", "mix_key")
-    table = rates(docs, weights, total).select(F.col("source").alias("__source"), F.col("rate"))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    rated = docs.join(table, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    table = rates(docs, weights, total).select(named.alias("__source"), "rate")
+    rated = docs.withColumn("__source", named)
+    rated = rated.join(F.broadcast(table), "__source", "left") if table.count() <= BROADCAST_SOURCES else beside(rated, table, "__source", "left")
+    text = F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))) if "text" in docs.columns else F.lit("")
+    name = F.coalesce(F.col("doc_id").cast("string"), text)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    draw = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, i: acc + _inverse(_uniform(seed, "copies", F.col("doc_id"), i), F.col("rate") / parts))
-    counted = rated.withColumn("__copies", draw).filter("__copies > 0")
+    draw = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, i: acc + _inverse(_uniform(seed, "copies", name, i), F.col("rate") / parts))
+    counted = rated.drop("__source").withColumn("__copies", draw).filter("__copies > 0")
     copies = counted.withColumn("replica", F.explode(F.expr("sequence(0, __copies - 1)"))).drop("__copies")
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("replica").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("replica").cast("string")))
     return copies.withColumn("mix_key", key).orderBy("mix_key")

@@ -264,7 +264,7 @@ def test_fingerprint_of_one_shingle_and_of_bits():
     assert simhash.fingerprint(b" A b\x0bC d\re") == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) > 1.5)
 
 
-@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("block", [4096, 8, 2])
 def test_links_join_all_that_are_near(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(4)
@@ -296,9 +296,17 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_one_of_each_group_stays(spark, odd, none):
-    kept = simhash.drop_near_duplicates(odd)
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 4, 5]
-    assert kept.columns == odd.columns and simhash.drop_near_duplicates(none).count() == 0
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(odd).collect()]
+    assert sorted(kept, key=repr) == sorted([ODD[0][:2], ODD[4][:2], ODD[6][:2], ODD[3][:2]], key=repr)
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns and simhash.drop_near_duplicates(none).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    texts = lambda data: sorted(r.text[0] + str(r.doc_id) for r in simhash.drop_near_duplicates(table(spark, [(i, t, "s") for i, t in data])).collect())
+    assert texts([(4, a), (4, b), (9, c)]) == ["a4", "b4", "c9"]
+    assert texts([(2, a), (4, a), (4, b)]) == ["a2", "b4"]
+    assert texts([(None, a), (None, a), (None, b), (7, b), (8, c), (8, c)]) == ["aNone", "b7", "c8"]
 
 
 @pytest.mark.parametrize("group", [256, 4])
@@ -344,6 +352,19 @@ def test_large_means_are_sums_of_parts(spark):
     assert abs(n - 15_000) < 5 * 15_000**0.5
 
 
+def test_rows_without_an_id_draw_for_themselves(spark):
+    docs = table(spark, [(None, f"text {i}", "s") for i in range(1000)])
+    out = mixing.replicate(docs, total=1000.0).collect()
+    assert abs(len(out) - 1000) < 160 and len({r.mix_key for r in out}) == len(out)
+
+
+def test_rates_of_very_many_sources_are_joined(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 50)).alias("source"))
+    few = rows(mixing.replicate(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert rows(mixing.replicate(docs)) == few
+
+
 def test_mix_of_odd_rows(odd, none):
     out = mixing.replicate(odd, total=70.0)
     assert {"replica", "rate", "mix_key"} <= set(out.columns) and out.count() > 20
@@ -399,6 +420,34 @@ def test_later_passages_go_and_first_ones_stay(spark):
     assert chunks.dedup_substrings(table(spark, [])).count() == 0
 
 
+def test_substring_dedup_against_a_dictionary(spark):
+    r = random.Random(21)
+    passages = [prose(r.randrange(5, 60), r) for _ in range(12)]
+    data = [(i, " ".join([prose(r.randrange(40), r), *r.sample(passages, r.randrange(3)), prose(r.randrange(40), r)]), "s") for i in range(80)]
+    data += [(7, data[7][1], "s"), (7, data[7][1], "s"), (3, data[9][1], "s"), *(x for x in ODD if x[0] is not None)]
+    places = {}
+    cut_of = lambda t: list(zip([0, *(ends := chunks.boundaries(t))], ends, strict=False))
+    for i, t, _ in data:
+        for s, e in cut_of((t or "").encode()):
+            places.setdefault((t or "").encode()[s:e], []).append((i, s))
+    want = []
+    for i, t, _ in data:
+        body = (t or "").encode()
+        at = [(s, e, min(places[body[s:e]]) != (i, s)) for s, e in cut_of(body) if len(places[body[s:e]]) > 1]
+
+        def long(some):
+            out = []
+            for s, e in some:
+                out = [*out[:-1], (out[-1][0], e, out[-1][2] + 1)] if out and out[-1][1] == s else [*out, (s, e, 1)]
+            return [x for x in out if x[1] - x[0] >= chunks.RUN]
+
+        gone = [(s, e) for s, e, _ in long([x[:2] for x in at if x[2]])]
+        left = b"".join(body[s:e] for s, e in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(body)], strict=True))
+        want.append((i, len(body), sum(n for _, _, n in long([x[:2] for x in at])), gone, None if t is None else left.decode()))
+    got = [(x.doc_id, x.n_bytes, x.n_repeated, [tuple(s) for s in x.spans], x.text) for x in chunks.dedup_substrings(table(spark, data)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(x[3] for x in want)
+
+
 # op 9
 
 
