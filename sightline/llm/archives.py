@@ -8,6 +8,7 @@ response. Files are written and read by Spark's own readers and writers, so any
 
 from __future__ import annotations
 
+import calendar
 import hashlib
 import re
 import zlib
@@ -88,92 +89,152 @@ def inflated(data: bytes) -> bytes:
     return b"".join([*parts, data]) if parts else data
 
 
-def parse_arc(data: bytes):
-    """Yields (version, header fields by name, content) of every record after the file descriptions.
+def _header(data: bytes, at: int, names: list[str]) -> tuple[list[str], int] | None:
+    """Fields of the header line at this byte and where its content starts; None if it is no header line."""
+    end = data.find(b"\n", at)
+    if end < 0:
+        return None
+    parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+    about = parts[0].startswith("filedesc://")
+    if not parts[-1].isdecimal() or not parts[-1].isascii() or (len(parts) < 5 if about else len(parts) != len(names)) or not re.fullmatch(r"\d{4,14}", parts[2], re.A):
+        return None
+    return parts, end + 1
 
-    A later `filedesc://` record changes version and fields, as in joined files. Bytes that no header line explains end the
-    parse with an error, for a length that is wrong would shift all that follows.
+
+def parse_arc(data: bytes, faults: list[tuple[int, str]] | None = None):
+    """Yields (version, header fields by name, content) of every record; those of file descriptions have the URL filedesc://...
+
+    A later `filedesc://` record changes version and fields, as in joined files. A line that should be a header and isn't, a
+    description that can't be read, and a record with fewer bytes than it declares are told in faults (byte, what) and skipped
+    up to the next line that is a header; without that list they are errors.
     """
     at, version, names = 0, 0, ARC_FIELDS[1].split(" ")
+
+    def fault(what: str) -> None:
+        if faults is None:
+            raise ValueError(f"byte {at}: {what}")
+        faults.append((at, what))
+
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        parts = line.split(" ")
-        if not parts[-1].isdigit() or end < 0:
-            raise ValueError(f"no ARC header at byte {at}: {line[:80]!r}")
-        content = data[end + 1 : end + 1 + int(parts[-1])]
+        found = _header(data, at, names)
+        if found is None:
+            fault(f"no ARC header of version {version}: {data[at : at + 80]!r}")
+            while at < len(data) and found is None:  # from line to line, until one is a header
+                at = data.find(b"\n", at) + 1 or len(data)
+                found = _header(data, at, names)
+            continue
+        parts, start = found
+        content = data[start : start + int(parts[-1])]
         if len(content) != int(parts[-1]):
-            raise ValueError(f"ARC record at byte {at} is cut short")
-        at = end + 1 + len(content)
-        if line.startswith("filedesc://"):
-            about = content.decode("utf-8", "replace").splitlines()
-            version, names = int(about[0].split(" ")[0]), about[1].split(" ")
+            fault(f"{len(content)} bytes of {parts[-1]}")
+            at = start
             continue
-        if len(parts) != len(names):
-            raise ValueError(f"an ARC header of version {version} has {len(names)} fields: {line[:80]!r}")
-        yield version, dict(zip(names, parts, strict=True)), content
+        if parts[0].startswith("filedesc://"):
+            about = content.decode("utf-8", "replace").splitlines()
+            if len(about) < 2 or not about[0].split(" ")[0].isdecimal():
+                fault("a file description without version and fields")
+            else:
+                version, names = int(about[0].split(" ")[0]), about[1].split(" ")
+            yield version, {"URL": parts[0], "IP-address": parts[1], "Archive-date": parts[2], "Content-type": "text/plain", "Archive-length": parts[-1]}, content
+        else:
+            yield version, dict(zip(names, parts, strict=True)), content
+        at = start + len(content)
 
 
 def split_http(content: bytes) -> tuple[dict[str, str], bytes]:
-    """HTTP headers by lower-case name, and the body."""
+    """HTTP headers by lower-case name, and the body. What doesn't begin like an HTTP message is a body without headers."""
+    if not content.startswith(b"HTTP/"):
+        return {}, content
     head, _, body = content.partition(b"\r\n\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}, body
 
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("http", pa.binary()), ("head", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-_RECORD_DDL = "page_id long, url string, date string, record_id string, http binary, head binary, payload_bytes long, payload_digest string"
+def iso_date(digits: str) -> str:
+    """An ARC date of 4 to 14 digits as WARC writes it; what it doesn't say is the first of its kind, what can't be is the last that can."""
+    full = digits + "00000101000000"[len(digits) :]
+    year, month, day, hour, minute, second = (int(full[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14)))
+    year, month = max(year, 1), min(max(month, 1), 12)
+    day = min(max(day, 1), calendar.monthrange(year, month)[1])
+    return f"{year:04}-{month:02}-{day:02}T{min(hour, 23):02}:{min(minute, 59):02}:{min(second, 59):02}Z"
+
+
+_NAMES = ("page_id", "kind", "url", "ip", "date", "content_type", "record_id", "http", "head", "payload_bytes", "payload_digest")
+_RECORD_DDL = "page_id long, kind string, url string, ip string, date string, content_type string, record_id string, http binary, head binary, payload_bytes long, payload_digest string"
+_RECORD = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split(" ") for x in _RECORD_DDL.split(", "))])
+
+
+def _page_id(headers: dict[str, str]) -> int | None:
+    text = headers.get("x-page-id", "")
+    return int(text) if re.fullmatch(r"-?\d{1,19}", text, re.A) else None
 
 
 def _arc_batches(batches, bodies: bool = True):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows, held = [], 0
-            for i, (_, fields, http) in enumerate(parse_arc(inflated(content.as_py()))):
-                headers, body = split_http(http)
+            for i, (_, fields, block) in enumerate(parse_arc(inflated(content.as_py()), [])):
+                headers, body = split_http(block)
                 digest = hashlib.sha1(body).hexdigest()
                 name = hashlib.sha256(f"{path.rpartition('/')[2]}:{i}:{fields['URL']}:{digest}".encode()).hexdigest()
-                date = fields["Archive-date"].ljust(14, "0")
+                about, http = fields["URL"].startswith("filedesc://"), block.startswith(b"HTTP/")
                 rows.append({
-                    "page_id": int(p) if (p := headers.get("x-page-id")) else None, "url": fields["URL"], "http": http if bodies else None, "head": http[: len(http) - len(body)] if bodies else None, "payload_bytes": len(body), "payload_digest": digest,
-                    "date": f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
+                    "page_id": _page_id(headers), "kind": "warcinfo" if about else "response" if http else "resource", "url": fields["URL"], "ip": ip if re.fullmatch(r"[0-9A-Fa-f.:]+", ip := fields["IP-address"]) and ip != "0.0.0.0" else None,
+                    "content_type": "application/http;msgtype=response" if http else fields["Content-type"], "http": block if bodies else None, "head": block[: len(block) - len(body)] if bodies else None, "payload_bytes": len(body), "payload_digest": digest,
+                    "date": iso_date(fields["Archive-date"]),
                     "record_id": f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-8{name[17:20]}-{name[20:32]}>",
                 })
-                held += len(http) if bodies else 0
+                held += len(block) if bodies else 0
                 if held > _HELD:
                     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 
+def _fault_batches(batches):
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            faults: list[tuple[int, str]] = []
+            for _ in parse_arc(inflated(content.as_py()), faults):
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(faults), pa.string()), pa.array([x for x, _ in faults], pa.int64()), pa.array([x for _, x in faults], pa.string())], names=["path", "at", "fault"])
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def read_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
-    """Records of ARC files with what WARC asks for: page_id, url, date, record_id, http, head, payload_bytes, payload_digest (hex SHA-1).
+    """Records of ARC files with what WARC asks for: page_id, kind, url, ip, date, content_type, record_id, http (the block), head, payload_bytes, payload_digest (hex SHA-1).
 
-    Without bodies http and head are null: all that comparing payloads needs.
+    Kinds are warcinfo (a file description), response (an HTTP message, whose payload is its body) and resource (anything else,
+    all of it payload). Without bodies http and head are null: all that comparing payloads needs. What isn't a record is left
+    out; arc_faults() tells where.
     """
     return _files(spark, path).mapInArrow(partial(_arc_batches, bodies=bodies), _RECORD_DDL)
 
 
+def arc_faults(spark: SparkSession, path: str) -> DataFrame:
+    """path, at (byte of the inflated file), fault: what in ARC files is no record, or not a whole one."""
+    return _files(spark, path).mapInArrow(_fault_batches, "path string, at long, fault string")
+
+
 def with_revisits(records: DataFrame, slim: DataFrame | None = None) -> DataFrame:
     """Adds original (record_id of the response a record revisits, or null) and original_date. slim: the same records without bodies.
 
     Of records with equal payloads of at least REVISIT_BYTES, those with the largest page_id are responses (all that share
     it; a null id is the smallest) and the others revisit the one of them with the smallest record id.
     """
-    big = (records if slim is None else slim).filter(F.col("payload_bytes") >= REVISIT_BYTES)
+    big = (records if slim is None else slim).filter((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("kind") == "response"))
     best = big.groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"), F.max_by(F.struct("record_id", "date"), F.struct(F.coalesce("page_id", F.lit(-(2**63))), F.col("record_id"))).alias("response"))
     # a page of which there is one has nothing to revisit, so the join carries repeated digests only
     best = cut(best.filter("n > 1").select(F.col("payload_digest").alias("same"), "top", "response"))
     if best.count() <= BROADCAST_DIGESTS:
         best = F.broadcast(best)
     both = records.join(best, F.col("payload_digest") == F.col("same"), "left")
-    later = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    later = F.col("same").isNotNull() & (F.col("kind") == "response") & ~F.col("page_id").eqNullSafe(F.col("top"))
     return both.select(*records.columns, F.when(later, F.col("response.record_id")).alias("original"), F.when(later, F.col("response.date")).alias("original_date"))
 
 
@@ -184,14 +245,15 @@ def _base32(digest: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records of with_revisits() as gzipped WARC 1.1: a response with its block, a revisit with the HTTP headers alone."""
+    """Writes records of with_revisits() as gzipped WARC 1.1: whole blocks, but of a revisit the HTTP headers alone."""
     again = F.col("original").isNotNull()
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+    target = F.when(F.col("kind") != "warcinfo", F.col("url"))
     block = F.when(again, F.col("head")).otherwise(F.col("http"))
     more = F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", F.col("original")), line("WARC-Refers-To-Date", F.col("original_date")))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("payload_digest")))), F.when(again, more).otherwise(F.lit("")), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.col("kind"))), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", target), line("WARC-IP-Address", F.col("ip")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("payload_digest")))), F.when(again, more).otherwise(F.lit("")), line("Content-Type", F.col("content_type")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     records.select(F.concat(head, block.cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").options(**_GZIP).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -227,14 +289,18 @@ def _warc_batches(batches):
                 http, body = split_http(block)
                 kind = headers["warc-type"]
                 digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
-                if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
+                if kind != "revisit" and hashlib.sha1(body).hexdigest() != digest:
                     raise ValueError(f"payload of {headers['warc-record-id']} doesn't have its digest")
-                rows.append({"page_id": int(p) if (p := http.get("x-page-id")) else None, "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "record_id": headers["warc-record-id"], "original": headers.get("warc-refers-to")})
+                length = len(body) if kind != "revisit" else int(http["content-length"]) if http.get("content-length", "").isdecimal() else None
+                rows.append({"page_id": _page_id(http), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "record_id": headers["warc-record-id"], "original": headers.get("warc-refers-to")})
             yield pa.RecordBatch.from_pylist(rows, schema=_BACK)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex), record_type, record_id, original (the record that a revisit refers to)."""
+    """page_id, payload_bytes, payload_digest (hex), record_type, record_id, original (the record that a revisit refers to).
+
+    A revisit's payload isn't there; its length is what its HTTP headers say, null if they don't.
+    """
     return _files(spark, path).mapInArrow(_warc_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, original string")
 
 
@@ -247,7 +313,7 @@ def convert(pages: DataFrame, folder: str) -> DataFrame:
     arc = f"{folder}/arc"
     write_arc(pages, arc)
     write_warc(with_revisits(read_arc(spark, arc), read_arc(spark, arc, bodies=False)), f"{folder}/warc")
-    back = read_warc(spark, f"{folder}/warc")
+    back = read_warc(spark, f"{folder}/warc").filter("record_type in ('response', 'revisit')")
     responses = back.filter("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
     used = back.filter("original is not null").select("original").distinct()
     responses = responses.join(used, F.col("of") == F.col("original"), "left_semi")
