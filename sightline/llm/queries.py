@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 import corpus_pipeline
@@ -15,6 +16,13 @@ from .common import cut, scratch
 TOKENIZER = os.environ.get("SIGHTLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
+def _tokenizer() -> str | None:
+    if os.path.exists(TOKENIZER):
+        return TOKENIZER
+    logging.getLogger(__name__).warning("there is no tokenizer at %s; code points are the tokens", TOKENIZER)
+    return None
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,7 +32,7 @@ def op1_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    nodes, members = chat.prefix_tree(given.unionByName(probe), TOKENIZER if os.path.exists(TOKENIZER) else None)
+    nodes, members = chat.prefix_tree(given.unionByName(probe), _tokenizer())
     return chat.read_back(nodes, members)
 
 
@@ -81,12 +89,14 @@ WITH t AS (
 e AS (
   SELECT *, length(role) + length(role) - length(replace(role, '\', '')) + len(regexp_extract_all(role, '<\||<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]'))
     + length(role) - length(replace(role, chr(10), '')) + length(text) + length(text) - length(replace(text, '\', ''))
-    + len(regexp_extract_all(text, '<\||<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]')) + 17 AS chars FROM t)
+    + len(regexp_extract_all(text, '<\||<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]')) + 17 AS chars FROM t),
+p AS (SELECT conv_id, list(sha256(role) || sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS path FROM t),
+n AS (SELECT conv_id, count(*) FILTER (held > 1) AS n_shared FROM (SELECT conv_id, count(*) OVER (PARTITION BY path) AS held FROM p) GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(any_value(n_shared) AS BIGINT) AS n_shared_turns, TRUE AS positions_count_up, TRUE AS attends_to_its_past
+FROM e JOIN n USING (conv_id) GROUP BY conv_id
 """
 
 _OP2 = r"""

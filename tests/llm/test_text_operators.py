@@ -122,6 +122,36 @@ def test_prefix_tree_places_positions_and_attention(spark):
         loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
         assert back[c].turns_sha256 == hashlib.sha256(told.encode()).hexdigest() and back[c].n_turns == len(own)
         assert back[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and back[c].loss_chars == len(loss)
+        assert back[c].positions_count_up and back[c].attends_to_its_past
+        assert back[c].n_shared_turns == sum(node[x].n_conversations > 1 for x in paths[c].values())
+    assert any(r.n_shared_turns for r in back.values())
+    # what the tree says is read, not assumed
+    wrong = nodes.withColumn("position_ids", F.transform("position_ids", lambda x: x + 1))
+    assert not any(r.positions_count_up for r in chat.read_back(wrong, members).collect() if r.n_turns)
+    wrong = nodes.withColumn("ancestors", F.slice("ancestors", 2, 99))
+    assert not all(r.attends_to_its_past for r in chat.read_back(wrong, members).collect())
+
+
+def test_prefix_tree_with_clashing_columns_and_a_very_long_text(spark):
+    names = "conv_id long, turn long, role string, text string, node_id string, depth long, owner string, place string"
+    talk = [(c, t, "assistant", "long words <| " * (20_000 if t else 1), "x", 1, "x", "x") for c in (1, 2) for t in (0, 1)]
+    nodes, members = chat.prefix_tree(spark.createDataFrame(talk, names))
+    assert nodes.count() == 2 and members.count() == 4
+    want = "".join(f"assistant\n{t[3]}\n" for t in talk[:2])
+    assert [(r.turns_sha256, r.n_shared_turns) for r in chat.read_back(nodes, members).collect()] == [(hashlib.sha256(want.encode()).hexdigest(), 2)] * 2
+
+
+def test_shared_turns_are_tokenised_once_and_their_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from sightline.llm import queries
+
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {c // 4 if t < 2 else c} [INST]") for c in range(40) for t in range(4)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = rows(queries.op1_prefix_tree(spark, str(tmp_path)).select(*(columns := "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars n_shared_turns positions_count_up attends_to_its_past".split())))
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE['op1_prefix_tree']})").fetchall(), key=repr)
+    assert {x[6] for x in got} == {0, 2}
 
 
 def test_prefix_tree_is_depth_first_and_shares(spark):
@@ -233,11 +263,45 @@ def test_arc_versions_and_broken_lengths():
     two = b"filedesc://y 0.0.0.0 2024 text/plain LEN\n2 0 me\n" + archives.ARC_FIELDS[2].encode() + b"\n"
     two = two.replace(b"LEN", str(len(two.partition(b"\n")[2])).encode())
     data = one + b"\nhttp://a 1.2.3.4 20200102030405 text/html 5\nab\ncd\n" + two + b"\nhttp://b 1.2.3.4 20200102030405 text/html 200 - - 0 f 3\nxyz\n"
-    assert [(v, f["URL"], c) for v, f, c in archives.parse_arc(data)] == [(1, "http://a", b"ab\ncd"), (2, "http://b", b"xyz")]
+    whole = [(1, "http://a", b"ab\ncd"), (2, "http://b", b"xyz")]
+    records = lambda data, faults=None: [(v, f["URL"], c) for v, f, c in archives.parse_arc(data, faults) if not f["URL"].startswith("filedesc")]
+    assert records(data) == whole
+    for bad, left in ((data.replace(b"/html 5\n", b"/html five\n"), whole[1:]), (data[:-6], whole[:1]), (data.replace(b"http://b 1.2.3.4", b"http://b"), whole[:1]), (b"junk\n\nmore junk 12\n" + data, whole)):
+        faults = []
+        assert records(bad, faults) == left and faults
     with pytest.raises(ValueError):
         list(archives.parse_arc(data[:-6]))
 
 
+def test_short_and_impossible_dates():
+    assert [archives.iso_date(x) for x in ("1997", "199701", "19970230", "20240229235960", "00000000000000", "19971340256199")] == [
+        "1997-01-01T00:00:00Z", "1997-01-01T00:00:00Z", "1997-02-28T00:00:00Z", "2024-02-29T23:59:59Z", "0001-01-01T00:00:00Z", "1997-12-31T23:59:59Z",
+    ]
+
+
+def test_records_of_every_kind_through_the_converter(spark, tmp_path):
+    import gzip
+
+    body = b"x" * 1200
+    http = b"HTTP/1.0 200 OK\r\nContent-Length: 1200\r\n\r\n" + body
+    about = f"1 0 me\n{archives.ARC_FIELDS[1]}\n".encode()
+    records = [(b"dns:a", b"9.8.7.6", b"199701", b"text/dns", b"20240101\na. IN"), (b"http://a/", b"1.2.3.4", b"20240101", b"text/html", http), (b"http://b/", b"1.2.3.4", b"20240102", b"text/html", http), (b"ftp://c/", b"-", b"2024", b"image/gif", body)]
+    data = b"filedesc://z.arc 0.0.0.0 2024 text/plain %d\n%s" % (len(about), about) + b"".join(b"\n%s %s %s %s %d\n%s" % (*r[:4], len(r[4]), r[4]) for r in records)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc.gz").write_bytes(gzip.compress(data[:200]) + gzip.compress(data[200:] + b"\nthis is no header\n"))
+    read = archives.read_arc(spark, str(tmp_path / "arc"))
+    archives.write_warc(archives.with_revisits(read), str(tmp_path / "warc"))
+    assert [(r.at, r.fault[:13]) for r in archives.arc_faults(spark, str(tmp_path / "arc")).collect()] == [(len(data) + 1, "no ARC header")]
+    files = [archives.inflated(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*")]
+    found = {h.get("warc-target-uri", ""): (h["warc-type"], h["content-type"], h["warc-date"], h.get("warc-ip-address"), block) for f in files for h, block in archives.parse_warc(f)}
+    assert found[""] == ("warcinfo", "text/plain", "2024-01-01T00:00:00Z", None, about)
+    assert found["dns:a"] == ("resource", "text/dns", "1997-01-01T00:00:00Z", "9.8.7.6", records[0][4])
+    assert found["ftp://c/"] == ("resource", "image/gif", "2024-01-01T00:00:00Z", None, body)
+    assert {found["http://a/"][0], found["http://b/"][0]} <= {"response", "revisit"} and found["http://a/"][1] == "application/http;msgtype=response"
+    back = {(r.record_type, r.payload_bytes, r.payload_digest) for r in archives.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert ("resource", 1200, hashlib.sha1(body).hexdigest()) in back and ("response", 1200, hashlib.sha1(body).hexdigest()) in back
+
+
 # op 5
 
 
