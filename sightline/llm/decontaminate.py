@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .common import cut, pieces
 
 WINDOW = 10
-#: Most words of benchmark items in one automaton (about 300 bytes a word in each Python worker); more items make more passes.
-SHARD_WORDS = 1_000_000
+#: Most words of benchmark items in one automaton (about 300 bytes a word, so 75 MB in each Python worker); more items make more passes.
+SHARD_WORDS = 250_000
 #: A pipeline stage drops a document when more than this share of its words is hit.
 COVERAGE = 0.5
 
@@ -298,7 +298,8 @@ def _over_shards(docs: DataFrame, benchmark: DataFrame, limits: Limits, most: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), most: int = SHARD_WORDS) -> DataFrame:
     """docs with the same columns: hit spans cut out of text (n_chars follows, where there is one), documents beyond the coverage limit left out.
 
-    Null texts stay null. The result doesn't depend on how many shards the items make.
+    Null texts stay null. Rows are independent of each other: those without doc_id and repeated ones are treated like any. An
+    empty table stays empty. The result doesn't depend on how many shards the items make.
     """
     spark = docs.sparkSession
     each = shards(benchmark, most)

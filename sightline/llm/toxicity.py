@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mos
     """Weights by index (2 ** BITS is the bias) from labels (doc_id, toxic) that aren't held out; {} without any.
 
     At most about most_rows labelled rows are used, those whose digest of doc_id is smallest. Null ids or labels are left
-    out; of several labels for one id the largest counts.
+    out; of several labels for one id the largest counts, of several texts the one with the smallest digest.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mos
     sample = known.filter(slot < int(min(1.0, most_rows / n) * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
     rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "body")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("body", F.xxhash64("body")).alias("body"))
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "body")
     out = ordered.select("toxic", "body").mapInArrow(_fit_batches(settings), "at int, weight double").collect()
     return {r["at"]: r["weight"] for r in out}
@@ -189,7 +190,10 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the same columns, without the rows that score at the threshold or above. Without labels nothing goes."""
+    """docs with the same columns, without the rows that score at the threshold or above. Without labels nothing goes.
+
+    A null text scores as an empty one. Rows without doc_id are scored like others; repeated rows stay or go together.
+    """
     model = fit(docs, labels, settings)
     if not model:
         return docs

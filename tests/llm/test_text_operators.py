@@ -211,6 +211,48 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in both)
 
 
+def plain_ftrl(data, settings):
+    """Weights by feature, one coordinate at a time. data: (features, label)."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << toxicity.BITS else settings.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return ((l1 if z[i] > 0 else -l1) - z[i]) / ((settings.beta + n[i] ** 0.5) / settings.alpha + settings.l2)
+
+    for _ in range(settings.passes):
+        for at, label in data:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / settings.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i)) != 0}
+
+
+def test_toxicity_against_a_plain_ftrl(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = labels.filter("toxic is not null").filter(~toxicity.held_out(F.col("doc_id")))
+    ordered = docs.join(known, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").collect()
+    data = [([*sorted(set(toxicity.features((r.text or "").encode()).tolist())), 1 << toxicity.BITS], r.toxic) for r in ordered]
+    want = plain_ftrl(data, toxicity.Settings())
+    got = toxicity.fit(docs, labels)
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want) and len(want) > 5
+    bias = want.get(1 << toxicity.BITS, 0.0)
+    for r in toxicity.score(docs, labels).join(docs, "doc_id").limit(60).collect():
+        x = bias + sum(want.get(i, 0.0) for i in set(toxicity.features((r.text or "").encode()).tolist()))
+        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-9 and r.predicted == (r.score >= toxicity.THRESHOLD)
+
+
+def test_held_out_recall(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    both = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r.toxic: r.share for r in both}
+    assert share[1] > 0.88 and share[0] < 0.01
+
+
 def test_labels_that_are_held_out_teach_nothing(spark):
     docs = table(spark, [(i, "awful text" if i % 2 else "fine text", "s") for i in range(200)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
@@ -682,3 +724,79 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
         assert now <= before if k < 4 else now > 0
         before = now
     assert corpus_pipeline.run(spark, SF).count() == before
+
+
+def poisson(u, mean):
+    k, term = 0, np.exp(-mean)
+    total = term
+    while total <= u and k < mixing.TERMS:
+        k += 1
+        term = term * mean / k
+        total += term
+    return k
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(22)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("nd", "rt", "s", "ll")]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    boiler, items = [say(9) for _ in range(4)], [say(14) for _ in range(3)]
+    texts = ["\n".join([say(40), r.choice(boiler), say(30)]) for _ in range(40)]
+    texts += [t.replace(" ", " also ", 1) for t in texts[:6]] + texts[6:9]  # near and exact copies
+    texts += [say(60) + "\n" + x + "\n" + say(20) for x in items] + [f"{x} {say(5)}" for x in items]
+    texts += ["\n".join(say(20) + " vile abuse" for _ in range(2)) for _ in range(20)]
+    data = [(i, t, "en", r.choice("ab"), len(t)) for i, t in enumerate(texts)]
+    labels = [(i, 1, int("vile" in t)) for i, t, *_ in data]
+    for name, kind, some in (("documents", "doc_id long, text string, lang string, source string, n_chars long", data), ("labels", "doc_id long, quality int, toxic int", labels), ("benchmark", "item_id long, text string", list(enumerate(items)))):
+        spark.createDataFrame(some, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = {i: (t, s) for i, t, _, s, _ in data}
+    # toxicity, by the model's weights
+    w = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    odds = {i: w.get(1 << toxicity.BITS, 0.0) + sum(w.get(x, 0.0) for x in set(toxicity.features(t.encode()).tolist())) for i, (t, _) in docs.items()}
+    docs = {i: d for i, d in docs.items() if 1 / (1 + np.exp(-odds[i])) < toxicity.THRESHOLD}
+    assert 40 < len(docs) < len(data)
+    # lines: the first of each class of lines within the bounds stays
+    held = sorted({x for t, _ in docs.values() for x in t.split("\n")})
+    bound = lambda n: max([0, *(t for low, t in lines.BOUNDS if n >= low)])
+    of = groups(held, [(a, b) for a in held for b in held if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= bound(min(len(a), len(b)))])
+    seen, left = set(), {}
+    for i in sorted(docs):
+        own = []
+        for x in docs[i][0].split("\n"):
+            if of[x] not in seen:
+                seen.add(of[x])
+                own.append(x)
+        if own:
+            left[i] = ("\n".join(own), docs[i][1])
+    docs = left
+    # near duplicates
+    grams = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, (t, _) in docs.items()}
+    of = groups(docs, [(a, b) for a in docs for b in docs if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])])
+    docs = {i: d for i, d in docs.items() if of[i] == i}
+    # decontamination: cut windows out until none is left, drop what is mostly such
+    wins = {tuple(x.split()[k : k + 10]) for x in items for k in range(5)}
+    clean = {}
+    for i, (t, s) in docs.items():
+        body, words, gone = t, t.split(), 0
+        while hit := {k + j for k in range(len(words) - 9) if tuple(words[k : k + 10]) in wins for j in range(10)}:
+            gone += len(hit)
+            spans = [m.span() for m in re.finditer(r"[^ \n]+", body)]
+            runs = [(a, b) for a in sorted(hit) if a - 1 not in hit for b in [next(k for k in range(a, len(words) + 1) if k not in hit)]]
+            for a, b in reversed(runs):
+                body = body[: spans[a][0]] + body[spans[b - 1][1] :]
+            words = body.split()
+        if gone <= decontaminate.COVERAGE * len(t.split()):
+            clean[i] = (body, s)
+    assert len(clean) < len(docs)
+    # mixing: Poisson copies at a uniform number from a digest
+    size = {s: sum(x == s for _, x in clean.values()) for s in "ab"}
+    weight = {s: n**mixing.TEMPERATURE for s, n in size.items()}
+    want = []
+    for i, (t, s) in clean.items():
+        mean = weight[s] / sum(weight.values()) * len(clean) / size[s]
+        u = int(hashlib.md5(f"copies7:{i}:1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        want += [(i, t, len(t), k) for k in range(poisson(u, mean))]
+    got = [(x.doc_id, x.text, x.n_chars, x.replica) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 20
