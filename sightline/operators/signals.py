@@ -64,3 +64,26 @@ def rotation_decisions(signal: DataFrame, days: DataFrame, k: int = 1, spec: Pan
     pairs = previous_session(days, spec).select(F.col(spec.session).alias("trade_session"), F.col("prediction_session").alias(spec.session))
     wanted = trades.join(pairs, "trade_session").filter(F.col(spec.session).isNotNull())
     return top_k(signal.join(F.broadcast(wanted), spec.session), k, spec=spec)
+
+
+def rank_buffer(df: DataFrame, k: int, keep: int, score: str = "score", spec: PanelSpec = PANEL) -> DataFrame:
+    """session, held (names in the order they were bought): at most k names, each kept while it ranks within keep; free places go to the best that aren't held.
+
+    What is bought depends on what was held before, so sessions are gone through one after the other, over the at most `keep`
+    best names of each: a table of sessions * keep rows, however many securities there are. Ties rank by name; scores that
+    aren't positive and nulls don't rank. A session without such scores sells everything.
+    """
+    best = top_k(df, keep, score, spec=spec).groupBy(spec.session).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(spec.security).alias("name")))).alias("ranked"))
+    days = df.select(spec.session).distinct().join(best, spec.session, "left")
+    empty = F.array().cast(f"array<{dict(df.dtypes)[spec.security]}>")
+    names = F.coalesce(F.transform("ranked", lambda x: x["name"]), empty)
+    every = days.agg(F.array_sort(F.collect_list(F.struct(F.col(spec.session).alias("day"), names.alias("names")))).alias("days"))
+
+    def step(acc, x):
+        stay = F.filter(acc["held"], lambda h: F.array_contains(x["names"], h))
+        held = F.slice(F.concat(stay, F.filter(x["names"], lambda n: ~F.array_contains(acc["held"], n))), 1, k)
+        return F.struct(held.alias("held"), F.concat(acc["out"], F.array(F.struct(x["day"].alias("day"), held.alias("held")))).alias("out"))
+
+    none = F.filter(F.array(F.struct(F.lit(None).cast(dict(df.dtypes)[spec.session]).alias("day"), empty.alias("held"))), lambda x: x["day"].isNotNull())
+    told = every.select(F.explode(F.aggregate("days", F.struct(empty.alias("held"), none.alias("out")), step)["out"]).alias("x"))
+    return told.select(F.col("x.day").alias(spec.session), F.col("x.held").alias("held"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import asof, cross_section, evaluation, labels, models, panel, rolling, schedules, signals
-from ..sources import library, market
+from ..sources import columns, library, market
 from ..streaming import windows as stream
-from . import catalog, contracts, dag, signal_plan
+from . import catalog, contracts, dag, experiment, signal_plan
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -283,6 +283,14 @@ def feat_rolling13(spark, sf):
     return _features(spark, sf, b.nodes, outputs)
 
 
+@query(f"{_MOVES} SELECT security_id, session, {', '.join(map(_rolling13, catalog.WINDOWS))} FROM d")
+def feat_rolling_all(spark, sf):
+    """The thirteen families at all their windows."""
+    b = catalog.Builder()
+    outputs = catalog.rolling_features(b)
+    return _features(spark, sf, b.nodes, outputs)
+
+
 _RET = f"(close / nullif(lag(close, 12) OVER ({W}), 0) - 1)"
 
 
@@ -297,6 +305,81 @@ def feat_extensions(spark, sf):
     return out.select(*KEYS, *(F.round(F.col(o) * (1e6 if o.startswith("ILLIQ") else 1.0), 6).alias(o.lower()) for o in outputs))
 
 
+# the daily panel, with the catalogs' own windows
+
+
+def _daily(spark, sf):
+    return market.daily_panel(spark, sf)
+
+
+_DORDER = f"{_LINES}, l_quantity, l_suppkey"
+#: The daily panel of regions as common table expressions.
+DP = f"""WITH reg AS (SELECT s_suppkey, n_regionkey AS security_id FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+px AS (SELECT security_id, CAST(l_shipdate AS DATE) AS session, l_extendedprice / l_quantity AS p, lineitem.* FROM lineitem JOIN reg ON l_suppkey = s_suppkey),
+bars AS (SELECT security_id, session, first(p ORDER BY {_DORDER}) AS open, last(p ORDER BY {_DORDER}) AS close, max(p) AS high, min(p) AS low, sum(l_extendedprice) AS amount FROM px GROUP BY 1, 2),
+cal AS (SELECT session, row_number() OVER (ORDER BY session) AS pos FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session FROM lineitem)),
+live AS (SELECT b.* FROM bars b JOIN cal USING (session) WHERE security_id <> 4 OR pos <= (SELECT max(pos) FROM cal) - 100),
+panel AS (SELECT u.security_id, c.session, c.pos, open, close, high, low, amount, TRUE AS member FROM (SELECT DISTINCT security_id FROM reg) u CROSS JOIN cal c LEFT JOIN live b ON b.security_id = u.security_id AND b.session = c.session)"""
+_DMOVES = DP + _MOVES[len(P):]
+
+
+def _extensions_sql(long: int, year: int, month: int) -> str:
+    back = f"(close / nullif(lag(close, {long}) OVER ({W}), 0) - 1)"
+    parts = {
+        f"ret{long}": back, f"up{long}": _agg("avg", "rise", long), f"smooth{long}": f"abs(close - lag(close, {long}) OVER ({W})) / ({_agg('sum', 'move', long)} + 1e-12)",
+        f"pricepos{year}": f"(close - {_agg('min', 'low', year)}) / ({_agg('max', 'high', year)} - {_agg('min', 'low', year)} + 1e-12)", f"voladjret{long}": f"{back} / ({_agg('stddev_samp', 'ret1', long)} + 1e-12)", "log_amount": "ln(1 + amount)",
+        f"amount_rel{month}": f"amount / {_agg('avg', 'amount', month)}", f"amount_rel{3 * month}": f"amount / {_agg('avg', 'amount', 3 * month)}", f"amount_z{month}": f"(amount - {_agg('avg', 'amount', month)}) / ({_agg('stddev_pop', 'amount', month)} + 1e-12)",
+        f"amount_cv{month}": f"{_agg('stddev_samp', 'amount', month)} / {_agg('avg', 'amount', month)}", f"illiq{month}": f"1e6 * {_agg('avg', 'ill', month)}",
+    }
+    return ", ".join(f"round({v}, 6) AS {k}" for k, v in parts.items())
+
+
+@query(f"{_DMOVES} SELECT security_id, session, {_extensions_sql(120, 252, 20)} FROM d")
+def feat_extensions_daily(spark, sf):
+    """The extensions over 120, 252, 20 and 60 sessions."""
+    b = catalog.Builder()
+    outputs = catalog.extension_features(b)
+    out = dag.compile_plan(_daily(spark, sf), b.nodes, outputs)
+    return out.select(*KEYS, *(F.round(F.col(o) * (1e6 if o.startswith("ILLIQ") else 1.0), 6).alias(o.lower()) for o in outputs))
+
+
+def daily_factors(p: DataFrame) -> DataFrame:
+    """A factor that steps up every 250 sessions, missing for some cells, among them those of the last session of region 2."""
+    there = ((F.col("security_id") * 3 + F.col("pos")) % 97 != 0) & ~((F.col("security_id") == 2) & (F.col("pos") == F.col("last")))
+    last = p.agg(F.max("pos").alias("last"))
+    return p.crossJoin(F.broadcast(last)).select(*KEYS, F.when(there, 1 + 0.25 * F.floor((F.col("pos") - 1) / 250)).cast("double").alias("factor"))
+
+
+_DROT = f"""{DP}, f AS (SELECT *, CASE WHEN (security_id * 3 + pos) % 97 <> 0 AND NOT (security_id = 2 AND pos = (SELECT max(pos) FROM cal)) THEN close * (1 + 0.25 * floor((pos - 1) / 250)) END::DOUBLE AS a FROM panel),
+m AS (SELECT *, CASE WHEN count(CASE WHEN a > 0 THEN a END) OVER {_over(21)} = 21 THEN a / lag(a, 20) OVER ({W}) - 1 END AS momentum FROM f)"""
+
+
+@query(f"{_DROT} SELECT security_id, session, round(CASE WHEN a > 0 THEN close END, 8) AS adjusted_close, round(momentum, 6) AS momentum, round(CASE WHEN momentum IS NOT NULL THEN (rank() OVER (PARTITION BY session, momentum IS NOT NULL ORDER BY momentum) + (count(*) OVER (PARTITION BY session, momentum IS NOT NULL, momentum) - 1) / 2.0) / count(*) OVER (PARTITION BY session, momentum IS NOT NULL) END, 6)::DOUBLE AS momentum_rank FROM m")
+def rotation_daily20(spark, sf):
+    """Momentum over 20 sessions of prices adjusted to each row's own session; one security stops early, one has no factor on the last day."""
+    p = _daily(spark, sf)
+    return experiment.rotation_features(p, daily_factors(p)).select(*KEYS, *_r("adjusted_close", digits=8), *_r("momentum", "momentum_rank"))
+
+
+@query(f"""{_DROT}, t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY momentum DESC, security_id) AS rank FROM m WHERE momentum > 0), b AS MATERIALIZED (SELECT c.pos, c.session, coalesce(list(security_id ORDER BY rank) FILTER (rank <= 3), []) AS names FROM cal c LEFT JOIN t USING (session) GROUP BY 1, 2),
+h AS (WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(NULL AS DATE) AS session, CAST([] AS BIGINT[]) AS held UNION ALL
+ SELECT b.pos, b.session, list_slice(list_concat(list_filter(r.held, lambda x: list_contains(b.names, x)), list_filter(b.names, lambda x: NOT list_contains(r.held, x))), 1, 2) FROM r JOIN b ON b.pos = r.pos + 1) SELECT * FROM r)
+SELECT session, array_to_string(held, ',') AS held FROM h WHERE pos > 0""")
+def rank_buffer(spark, sf):
+    """At most two holdings, each kept while it ranks among the best three."""
+    p = _daily(spark, sf)
+    scores = experiment.rotation_features(p, daily_factors(p)).select(*KEYS, F.col("momentum").alias("score"))
+    return signals.rank_buffer(scores, 2, 3).select("session", F.array_join(F.transform("held", lambda x: x.cast("string")), ",").alias("held"))
+
+
+@query(f"{DP} SELECT security_id, session, close::FLOAT::DOUBLE AS close, (close IS NULL)::INT * CASE WHEN security_id = 4 THEN 4 ELSE 1 END AS code, CASE WHEN close IS NOT NULL THEN epoch_us(session + INTERVAL 12 HOUR) END AS at_us FROM panel")
+def column_source(spark, sf):
+    """Cells of a column source: single precision, reason codes, clocks."""
+    p = _daily(spark, sf).withColumns({"close__missing_reason": F.when(F.col("close").isNull(), F.when(F.col("security_id") == 4, "suspended").otherwise("grid_hole")), "close__at": F.col("session").cast("timestamp") + F.expr("interval 12 hours")})
+    out = columns.columns_of(p, ["close"])
+    return out.select(*KEYS, F.col("close").cast("double").alias("close"), F.col("close__code").cast("int").alias("code"), F.col("close__at_us").alias("at_us"))
+
+
 # cross-section
 
 
@@ -366,12 +449,12 @@ def asof_revision_retraction(spark, sf):
     return latest.select("security_id", "report_period", "revision_id", *_r("value"), F.isnull("value").alias("retracted"))
 
 
-@query(f"{P}, o AS (SELECT security_id, session, pos, session + INTERVAL 20 DAY AS cutoff FROM panel WHERE pos % 12 = 0), f AS (SELECT security_id, pos, close, session + to_days(CAST(security_id % 45 AS INT)) AS usable_from FROM panel) SELECT c.session AS out_session, f.security_id, count(close) AS n, round(sum(close), 4) AS total FROM f JOIN (SELECT DISTINCT session, pos, cutoff FROM o) c ON f.pos <= c.pos AND f.pos > c.pos - 4 AND f.usable_from <= c.cutoff GROUP BY 1, 2", days="out_session")
+@query(f"{P}, o AS (SELECT security_id, session, pos, session + INTERVAL 20 DAY AS cutoff FROM panel), f AS (SELECT security_id, pos, close, session + to_days(CAST(security_id % 45 AS INT)) AS usable_from FROM panel) SELECT c.session AS out_session, f.security_id, count(close) AS n, round(sum(close), 8) AS total FROM f JOIN (SELECT DISTINCT session, pos, cutoff FROM o) c ON f.pos <= c.pos AND f.pos > c.pos - 4 AND f.usable_from <= c.cutoff GROUP BY 1, 2", days="out_session")
 def pit_window_rule(spark, sf):
     p = _panel(spark, sf)
     facts = p.select("security_id", "pos", "close", F.date_add("session", (F.col("security_id") % 45).cast("int")).alias("usable_from"))
-    outputs = p.filter("pos % 12 = 0").select(F.col("session").alias("out_session"), F.col("pos").alias("out_pos"), F.date_add("session", 20).alias("cutoff")).distinct()
-    return asof.visible_window(facts, outputs, 4).groupBy("out_session", "security_id").agg(F.count("close").alias("n"), F.round(F.sum("close"), 4).alias("total"))
+    outputs = p.select(F.col("session").alias("out_session"), F.col("pos").alias("out_pos"), F.date_add("session", 20).alias("cutoff")).distinct()
+    return asof.visible_window(facts, outputs, 4).groupBy("out_session", "security_id").agg(F.count("close").alias("n"), F.round(F.sum("close"), 8).alias("total"))
 
 
 @query(f"{P} SELECT b.security_id, b.session, round(b.close, 6) AS close, round(a.amount, 4) AS amount FROM bars b JOIN (SELECT security_id, session, amount FROM bars) a USING (security_id, session)")
@@ -522,10 +605,10 @@ def signal_topk_ties(spark, sf):
     return signals.top_k(_scores(spark, sf).withColumn("score", F.round("m3", 1)), 5).select("session", "security_id", "score", "rank")
 
 
-@query(f"{_SIG} SELECT security_id, session, round(m3, 6) AS score, m3 IS NOT NULL AS valid, CASE WHEN m3 IS NULL THEN 'FEATURE_MISSING' END AS invalid_reason FROM g WHERE pos <= 20 UNION ALL SELECT security_id, session, round(m6, 6), m6 IS NOT NULL, CASE WHEN m6 IS NULL THEN 'FEATURE_MISSING' END FROM g WHERE pos > 20 AND pos <= 30")
+@query(f"{_SIG} SELECT security_id, session, round(m3, 6) AS score, m3 IS NOT NULL AS valid, CASE WHEN m3 IS NULL THEN 'FEATURE_MISSING' END AS invalid_reason FROM g WHERE pos <= 20 UNION ALL SELECT security_id, session, round(m6, 6), m6 IS NOT NULL, CASE WHEN m6 IS NULL THEN 'FEATURE_MISSING' END FROM g WHERE pos > 20")
 def signal_concatenated(spark, sf):
     g = _scores(spark, sf).withColumn("cutoff", F.col("session").cast("timestamp"))
-    parts = [signals.etf_signal(g.filter("pos <= 20"), "m3", "cutoff"), signals.etf_signal(g.filter("pos > 20 and pos <= 30"), "m6", "cutoff")]
+    parts = [signals.etf_signal(g.filter("pos <= 20"), "m3", "cutoff"), signals.etf_signal(g.filter("pos > 20"), "m6", "cutoff")]
     return panel.concatenate(parts).select(*KEYS, *_r("score"), "valid", "invalid_reason")
 
 
@@ -670,12 +753,21 @@ def fold_fit_predict(spark, sf):
     return models.run_folds(rows, folds, outputs, "label")
 
 
-@query(days="")
+_PRED = f"""{P}, x AS (SELECT *, {_ret(1)}, {_ret(5)}, (high - low) / nullif(close, 0) AS intraday_range, close / nullif(open, 0) - 1 AS close_to_open, amount / nullif({_agg('avg', 'amount', 5)}, 0) AS rel5,
+  (security_id + pos) % 11 <> 0 AS in_time FROM panel),
+r AS (SELECT CASE WHEN NOT member THEN 'NOT_MEMBER' WHEN NOT in_time THEN 'FEATURE_AVAILABILITY_UNKNOWN' WHEN ret1 IS NULL OR ret5 IS NULL OR intraday_range IS NULL OR close_to_open IS NULL OR rel5 IS NULL THEN 'FEATURE_MISSING' END AS invalid_reason FROM x WHERE pos > 33)
+SELECT invalid_reason IS NULL AS valid, invalid_reason, count(*) AS n FROM r GROUP BY ALL"""
+
+
+@query(_PRED, days="")
 def prediction_rows(spark, sf):
+    """What the rows of all sessions after a training window say of themselves; scores are the model's, reasons aren't."""
     rows, features = _model_rows(spark, sf)
-    train = rows.filter(models.usable(features) & F.col("label").isNotNull() & (F.col("pos") < 30))
+    late = (F.col("security_id") + F.col("pos")) % 11 == 0
+    rows = rows.withColumns({"cutoff": F.col("session").cast("timestamp"), "features_at": F.when(late & (F.col("pos") % 2 == 0), F.lit(None)).when(late, F.col("session").cast("timestamp") + F.expr("interval 1 day")).otherwise(F.col("session").cast("timestamp"))})
+    train = rows.filter(models.usable(features, rows) & F.col("label").isNotNull() & (F.col("pos") < 30))
     model = models.fit(train, features, "label", models.TrainingProfile(rounds=5, depth=3))
-    return models.predict(model, rows.filter("pos > 40"), features).groupBy("valid", "invalid_reason").agg(F.count("*").alias("n"))
+    return models.predict(model, rows.filter("pos > 33"), features).groupBy("valid", "invalid_reason").agg(F.count("*").alias("n"))
 
 
 # library, sets, experiments
@@ -698,15 +790,18 @@ def set_intersect(spark, sf):
     return market.table(spark, sf, "orders").select("o_custkey").intersect(market.table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders", days="")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'", days="")
 def set_except(spark, sf):
-    return market.table(spark, sf, "customer").select("c_custkey").subtract(market.table(spark, sf, "orders").select("o_custkey"))
+    return market.table(spark, sf, "customer").select("c_custkey").subtract(market.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
-@query("SELECT event_type, count(*) AS n, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1", days="")
+@query("WITH p AS (SELECT event_type, event_id // 1000 AS part, count(*) AS n, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2) SELECT event_type, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM p GROUP BY 1", days="")
 def content_digest(spark, sf):
+    """A digest of each event type's ids in two levels: of every thousand ids, and of those digests."""
     ids = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string"))
-    return market.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", ids), 256).alias("digest"))
+    parts = market.table(spark, sf, "events").groupBy("event_type", F.expr("event_id div 1000").alias("part")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", ids), 256).alias("digest"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sha2(F.concat_ws(",", each), 256).alias("digest"))
 
 
 # windows over time, as the streaming job computes them

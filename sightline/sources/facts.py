@@ -93,6 +93,12 @@ def read_view(spark: SparkSession, path: str, fields: list[str], start: str, end
     return rows.filter(F.col("security_id").isin(*symbols)) if symbols is not None else rows.join(universe.select("security_id").distinct(), "security_id", "left_semi")
 
 
+def export_view(facts: DataFrame, path: str, fields: list[str], universe: DataFrame | None = None) -> None:
+    """Writes fields of a panel as a view that read_view() reads, one folder a session; with a universe only its securities."""
+    rows = facts.select(*PANEL.keys, *fields)
+    write_panel(rows if universe is None else rows.join(universe.select("security_id").distinct(), "security_id", "left_semi"), path)
+
+
 def write_panel(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder a session; rows of a session are brought together first, so each folder has few files."""
     df.repartition(F.col("session")).sortWithinPartitions("session", "security_id").write.mode(mode).partitionBy("session").parquet(path)

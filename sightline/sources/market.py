@@ -36,6 +36,21 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("member", (F.col("security_id") + F.col("pos")) % 7 != 0)
 
 
+def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete daily grid of the suppliers' regions: bars, pos and member. Region 4 has no bars in the last 100 sessions."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("security_id"))
+    regions = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "security_id")
+    price, order = F.col("l_extendedprice") / F.col("l_quantity"), F.struct(*LINE_ORDER, "l_quantity", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.join(regions, F.col("l_suppkey") == F.col("s_suppkey")).select("security_id", F.col("l_shipdate").cast("date").alias("session"), price.alias("p"), *LINE_ORDER, "l_quantity", "l_suppkey")
+    bars = rows.groupBy("security_id", "session").agg(F.min_by("p", order).alias("open"), F.max_by("p", order).alias("close"), F.max("p").alias("high"), F.min("p").alias("low"), F.sum("l_extendedprice").alias("amount"))
+    days = calendar(lines.select(F.col("l_shipdate").cast("date").alias("session")))
+    last = days.agg(F.max("pos").alias("last"))
+    full = grid(bars, days, regions.select("security_id")).crossJoin(F.broadcast(last))
+    live = (F.col("security_id") != 4) | (F.col("pos") <= F.col("last") - 100)
+    return full.select("security_id", "session", "pos", *(F.when(live, F.col(c)).alias(c) for c in ("open", "close", "high", "low", "amount")), F.lit(True).alias("member"))
+
+
 def factors(panel: DataFrame) -> DataFrame:
     """A factor that steps up each year, missing for some cells."""
     step = 1 + 0.25 * F.floor((F.col("pos") - 1) / 12)

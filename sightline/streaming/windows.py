@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.asof import latest_revision
+from ..sources.library import ensure
 
 
 def _timed(events: DataFrame, late: str | None) -> DataFrame:
@@ -52,3 +53,20 @@ def as_known(versions: DataFrame, keys: list[str], cutoff: str) -> DataFrame:
     """The cells of an ingested table as they were known at a cutoff."""
     seen = versions.filter(F.col("usable_from") <= F.to_timestamp(F.lit(cutoff)))
     return latest_revision(seen.drop("batch"), keys)
+
+
+def fill_gaps(requests: DataFrame, path: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Computes the requested feature cells that the library at path hasn't, batch by batch, until no request is left.
+
+    requests: a stream of cells (feature, security_id, session, dependency_ref). A batch that is run again after a failure
+    finds its cells there and computes nothing twice.
+    """
+
+    def batch(cells: DataFrame, _: int) -> None:
+        cells = cells.distinct().persist()
+        try:
+            ensure(cells.sparkSession, path, cells, compute)
+        finally:
+            cells.unpersist()
+
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

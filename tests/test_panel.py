@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sightline.functions import scalars as S
 from sightline.operators import asof, cross_section, evaluation, labels, models, panel, rolling, schedules, signals
 from sightline.plans import catalog, config, contracts, dag, experiment, experiments, registry, signal_plan
-from sightline.sources import documents, facts, library
+from sightline.sources import columns, documents, facts, library
 from sightline.streaming import windows
 
 D = dt.date
@@ -464,6 +464,111 @@ def test_rotation_is_built_once(spark, tmp_path):
         experiment.build_rotation(spark, str(tmp_path), "snap@1", p, f, momentum=21)
 
 
+def test_rotation_looks_at_nothing_after_a_session(spark, tmp_path):
+    p = panel_of(spark, {"close": lambda s, i: None if s == "B" and i > 14 else 100.0 + i, "member": lambda s, i: True}, 21, ("A", "B"))
+    f = panel_of(spark, {"factor": lambda s, i: None if s == "B" and i > 14 else 1.0 if i < 10 else 2.0}, 21, ("A", "B"))
+    out = experiment.rotation_features(p, f, 5)
+    early = {(r.security_id, r.session): r for r in out.collect()}
+    for last in (9, 14):  # what is known up to a session gives the same up to it
+        cut = lambda df, last=last: df.filter(F.col("pos") <= last + 1)
+        assert all(early[r.security_id, r.session] == r for r in experiment.rotation_features(cut(p), cut(f), 5).collect())
+    held = [r.momentum for r in out.filter("security_id = 'B'").orderBy("session").collect()]
+    assert [x is None for x in held] == [True] * 5 + [False] * 10 + [True] * 6 and held[9] == pytest.approx(109 / 104 - 1)
+    assert [r.adjusted_close for r in out.filter("security_id = 'B'").orderBy("session").collect()][12:16] == [112.0, 113.0, 114.0, None]
+
+
+def test_identities_hold_the_content(spark, tmp_path):
+    p = panel_of(spark, {"close": lambda s, i: 100.0 + i, "member": lambda s, i: True}, 8, ("A", "B"))
+    f = panel_of(spark, {"factor": lambda s, i: 1.0}, 8, ("A", "B"))
+    build = lambda prices, factors, **more: experiment.build_rotation(spark, str(tmp_path), "s@1", prices, factors, momentum=3, **more)[0]
+    one = build(p, f)
+    assert build(p.repartition(5).orderBy(F.desc("session")), f).reused
+    other = build(p.withColumn("close", F.col("close") * F.when(F.col("pos") == 2, 2.0).otherwise(1.0)), f)
+    assert not other.reused and other.path != one.path and not build(p, f.withColumn("factor", F.lit(2.0))).reused
+    trusted = build(p, f, trusted=True)
+    assert not trusted.reused and build(p, f, trusted=True).reused
+    # what was published is checked, by its files and by its rows
+    assert documents.audit(spark, one.path, experiment.rotation_features(p, f, 3)) == {"only_published": 0, "only_rebuilt": 0}
+    assert documents.audit(spark, one.path, other.read(spark))["only_rebuilt"] > 0
+    documents.published(spark, one.path, scan=True)
+    table = Path(one.path) / "table"
+    victim = next(table.glob("part-*"))
+    victim.rename(victim.with_name("part-lost.txt"))
+    with pytest.raises(documents.DocumentError):
+        one.read(spark)
+
+
+def test_column_sources(spark, tmp_path):
+    p = panel_of(spark, {"close": lambda s, i: None if i == 2 else 0.1 + i}, 4, ("A", "B")).withColumn("close__missing_reason", F.when(F.col("close").isNull(), "suspended"))
+    path, there = columns.build_column_source(spark, str(tmp_path), "s@1", p, ["close"])
+    assert not there and columns.build_column_source(spark, str(tmp_path), "s@1", p, ["close"]) == (path, True)
+    out = columns.load_column_source(spark, path, scan=True).filter("security_id = 'A'").orderBy("session").collect()
+    assert [r.close for r in out] == [pytest.approx(0.1, abs=1e-7), pytest.approx(1.1, abs=1e-7), None, pytest.approx(3.1, abs=1e-6)] and [r.close__missing_reason for r in out] == [None, None, "suspended", None]
+    assert [(r.path.rpartition("/")[2], r.kind) for r in columns.index_of(spark, str(tmp_path)).collect()] == [(path.rpartition("/")[2], "columns")]
+    for bad in (p.filter("security_id = 'A' or pos > 1"), p.union(p.limit(1))):
+        with pytest.raises(panel.PanelError):
+            columns.build_column_source(spark, str(tmp_path), "s@1", bad, ["close"])
+    with pytest.raises(panel.PanelError):
+        columns.load_column_source(spark, path, ["open"])
+
+
+def test_views_are_exported_and_sources_watched(spark, tmp_path):
+    p = panel_of(spark, {"close": lambda s, i: 1.0 + i}, 4, ("A", "B"))
+    facts.export_view(p, str(tmp_path / "v"), ["close"], p.filter("security_id = 'B'"))
+    out = facts.read_view(spark, str(tmp_path / "v"), ["close"], "2024-01-02", "2024-01-03", ["A", "B"]).collect()
+    assert sorted((r.security_id, r.close) for r in out) == [("B", 2.0), ("B", 3.0)]
+    with documents.Unchanged(spark, str(tmp_path / "v")):
+        pass
+    with pytest.raises(documents.DocumentError), documents.Unchanged(spark, str(tmp_path / "v")):
+        (tmp_path / "v" / "more").write_text("x")
+
+
+def test_rank_buffer_against_a_loop(spark):
+    r = random.Random(5)
+    score = {(s, i): r.choice([None, -1.0, round(r.random(), 1)]) if i != 4 else None for s in "ABCDEFG" for i in range(12)}
+    p = panel_of(spark, {"score": lambda s, i: score[s, i]}, 12, tuple("ABCDEFG"))
+    got = [x.held for x in signals.rank_buffer(p, 2, 4).orderBy("session").collect()]
+    held, want = [], []
+    for i in range(12):
+        best = [s for _, s in sorted((-score[s, i], s) for s in "ABCDEFG" if (score[s, i] or 0) > 0)][:4]
+        held = ([s for s in held if s in best] + [s for s in best if s not in held])[:2]
+        want.append(held)
+    assert got == want and [] in want
+
+
+def test_plugged_in_functions(spark):
+    if "twice" not in dag.OPERATORS:
+        dag.plug_in("twice", 1, lambda x: x * 2)
+    with pytest.raises(dag.PlanError):
+        dag.plug_in("twice", 1, lambda x: x)
+    p = panel_of(spark, {"close": lambda s, i: None if i == 1 else 1.0 + i}, 3)
+    assert column(dag.compile_plan(p, [dag.Node("y", "twice", ("close",))], ["y"]), "y") == [2.0, None, 6.0]
+
+
+def test_clocks_of_features(spark):
+    p = panel_of(spark, {"x": lambda s, i: float(i % 5), "label": lambda s, i: float(i % 5 > 2), "member": lambda s, i: s != "N"}, 60, ("A", "N"))
+    cutoff = F.col("session").cast("timestamp")
+    p = p.withColumns({"cutoff": cutoff, "features_at": F.when(F.col("pos") == 60, cutoff + F.expr("interval 1 second")).when(F.col("pos") != 59, cutoff)})
+    model = models.fit(p.filter(models.usable(["x"], p)), ["x"], "label", models.TrainingProfile(rounds=2, depth=2))
+    out = models.predict(model, p.withColumn("x", F.when(F.col("pos") < 59, F.col("x")).when(F.col("pos") == 60, float("nan"))), ["x"]).filter("security_id = 'A'")
+    assert [r.invalid_reason for r in out.orderBy("session").collect()][57:] == [None, "FEATURE_AVAILABILITY_UNKNOWN", "FEATURE_AVAILABILITY_UNKNOWN"]
+
+
+def test_gaps_are_filled_by_a_stream(spark, tmp_path):
+    cells = lambda days: spark.createDataFrame([("f", s, D(2024, 1, d), "v1") for s in "AB" for d in days], "feature string, security_id string, session date, dependency_ref string")
+    asked = []
+
+    def compute(gap):
+        asked.append(gap.count())
+        return gap.withColumns({"value": F.lit(1.0), "available_at": F.lit(dt.datetime(2024, 1, 9))})
+
+    for days in ((1, 2), (2, 3)):
+        cells(days).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(cells((1,)).schema).parquet(str(tmp_path / "in"))
+        windows.fill_gaps(stream, str(tmp_path / "lib"), str(tmp_path / "at"), compute).awaitTermination()
+    assert asked == [4, 2] and library.ensure(spark, str(tmp_path / "lib"), cells((1, 2, 3)), compute).count() == 6 and asked == [4, 2]
+
+
 def test_joint_features(spark, tmp_path):
     p = panel_of(spark, {"close": lambda s, i: [10.0, None, 20.0][i]}, 3)
     sessions = p.select("security_id", "session", "pos", (F.col("session").cast("timestamp") + F.expr("interval 20 hours")).alias("cutoff"))
@@ -477,10 +582,27 @@ def test_sequential_experiment(spark, tmp_path):
     r = random.Random(4)
     x = {(s, i): r.random() for s in "ABCDEFGH" for i in range(60)}
     p = panel_of(spark, {"open": lambda s, i: 10.0, "close": lambda s, i: 10.0 + x[s, i - 2] if i > 1 else 10.0, "x": lambda s, i: x[s, i], "member": lambda s, i: True}, 60, tuple("ABCDEFGH"))
-    scored, daily = experiment.build_sequential(spark, str(tmp_path), "s@1", p, ["x"], horizon=2, refit=15, mature=28, profile=models.TrainingProfile(rounds=8, depth=3), minimum_pairs=5)
+    n = contracts.SignalNode
+    plan = contracts.SignalPlanSpec((n("raw", "raw"), n("z", "daily_zscore", ("raw",))), "z")
+    build = lambda **more: experiment.build_sequential(spark, str(tmp_path), "s@1", p, ["x"], horizon=2, refit=15, mature=28, profile=models.TrainingProfile(rounds=8, depth=3), minimum_pairs=5, **more)
+    scored, daily, derived = build(plan=plan)
     assert scored.read(spark).select("fold").distinct().count() == 3
-    ic = [r.ic for r in daily.read(spark).collect() if r.ic is not None]
-    assert sum(ic) / len(ic) > 0.8
+    ic = {k: [r.ic for r in daily.read(spark).orderBy("session").collect() if r.ic is not None and r.signal == k] for k in ("raw", "derived")}
+    assert all(sum(x) / len(x) > 0.8 for x in ic.values()) and ic["raw"] == pytest.approx(ic["derived"])
+    z = derived.read(spark).groupBy("session").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("d")).collect()
+    assert all(abs(r.m) < 1e-9 and abs(r.d - 1) < 1e-9 for r in z)
+    # models are saved with receipts; what was built isn't built again
+    folder = next(str(f) for f in tmp_path.iterdir() if f.name.startswith("folds-"))
+    saved = models.load_folds(spark, folder, ["fold1", "fold2", "fold3"])
+    first = scored.read(spark).filter("fold = 'fold2' and valid").select("security_id", "session", "score").collect()
+    again = {(r.security_id, r.session): r.score for r in models.predict(saved["fold2"][0], p, ["x"]).collect()}
+    assert first and all(again[r.security_id, r.session] == r.score for r in first) and saved["fold2"][1]["features"] == ["x"]
+    assert [b.reused for b in build()] == [True, False] and [b.reused for b in build(plan=plan)] == [True] * 3
+    with pytest.raises(panel.PanelError):
+        models.load_folds(spark, folder, ["fold9"])
+    outcomes = experiment.build_evaluation_labels(spark, str(tmp_path), "s@1", p, 2)
+    frozen = experiment.freeze_evaluation(spark, str(tmp_path), {"raw": scored, "derived": derived}, outcomes)
+    assert {r.signal for r in frozen.read(spark).collect()} == {"raw", "derived"} and experiment.freeze_evaluation(spark, str(tmp_path), {"raw": scored, "derived": derived}, outcomes).reused
 
 
 def test_signal_plans(spark):
