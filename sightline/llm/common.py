@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage: only then does Spark delete shuffles and checkpoints that nothing refers to any more, by default every half hour."""
+    spark._jvm.System.gc()
+
+
 def pieces(batches, rows: int = 256):
     """Arrow batches in slices of few rows: a worker then holds one batch and little besides, however long the texts are."""
     for batch in batches:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, components, cut, let
+from .common import beside, components, cut, let, release
 
 #: (shortest line in characters, edits allowed); the shorter line of a pair decides. Shorter lines match only exactly.
 BOUNDS = ((16, 1), (64, 2))
@@ -36,6 +36,8 @@ SHORT = 32_768
 STRETCHES = 16
 #: A key is made longer only if that saves so many pairs for each row that it makes.
 ROW = 8
+#: Dense keys that together make at most so many pairs are joined as they are.
+FEW_PAIRS = 100_000
 
 
 def _edits(n: Column) -> Column:
@@ -239,10 +241,10 @@ def _cuts(rows: DataFrame) -> DataFrame:
     return cut(told.select("key", rising.alias("cuts")))
 
 
-def _longer(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+def _longer(rows: DataFrame, cuts: DataFrame, small) -> DataFrame:
     """The same columns as rows (see _held()) with a longer key for each segment of the rests, and parent, the key before."""
     shifts = "flatten(transform(sequence(0, t), i -> transform(sequence(greatest(-i, less - t + i), least(i, less + t - i)), s -> named_struct('i', i, 'shift', s))))"
-    each = rows.join(_small(cuts), "key").select("*", F.expr(shifts).alias("vs")).select("*", F.explode("vs").alias("v")).select(*rows.columns, "cuts", "v.*")
+    each = rows.join(small(cuts), "key").select("*", F.expr(shifts).alias("vs")).select("*", F.explode("vs").alias("v")).select(*rows.columns, "cuts", "v.*")
     each = each.withColumn("start", F.expr("if(i = 0, 0, get(cuts, i - 1))")).withColumn("size", F.expr("if(i = t, m, get(cuts, i)) - start")).withColumn("at", F.expr("start + 1 + shift"))
     each = each.filter("at >= 1 and at + size - 1 <= length(rest)")
     facts = F.expr("if(facts & 1 = 1 and shift <> 0, facts - 1, facts)").alias("facts")
@@ -252,27 +254,24 @@ def _longer(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def _of_dense_keys(rows: DataFrame) -> DataFrame:
     """a, b of all rows (see _held()) that a dense key brings together, by longer keys."""
     own = F.sum(F.col("facts").bitwiseAND(F.lit(1)))
-    met = []
-
-    def meet(some):
-        met.append(cut(_joined(some, *_COUNTS, "t").distinct()))
-
+    meeting = []
     while True:
         rows = cut(rows)
         tally = rows.groupBy("key").agg(own.alias("own"), F.count("*").alias("held"), F.max(F.col("m") > F.col("t")).alias("more"))
         dense = cut(tally.filter((F.col("own") >= DENSE) & (F.col("held") >= DENSE) & F.col("more")).select("key", (F.col("own") * F.col("held")).alias("before")))
-        if dense.isEmpty():
-            meet(rows)
-            return reduce(DataFrame.union, met)
-        meet(rows.join(_small(dense.select("key")), "key", "left_anti"))
-        top = cut(rows.join(_small(dense.select("key")), "key", "left_semi"))
-        longer = cut(_longer(top, _cuts(top)))
+        n, pairs = dense.agg(F.count("*"), F.sum("before")).first()
+        if not n or pairs <= FEW_PAIRS:
+            return _joined(reduce(DataFrame.union, [*meeting, rows]), *_COUNTS, "t")
+        small = F.broadcast if n <= BROADCAST_IDS else lambda table: table  # what is derived from dense has no more rows
+        top = cut(rows.join(small(dense.select("key")), "key", "left_semi"))
+        longer = cut(_longer(top, _cuts(top), small))
         # only keys that a line and a line of the index hold can bring anything together
         useful = cut(longer.groupBy("parent", "key").agg(own.alias("own"), F.count("*").alias("held")).filter("own > 0 and held > 1"))
         after = useful.groupBy("parent").agg(F.sum(F.expr(f"own * held + {ROW} * held")).alias("after"))
         weighed = cut(dense.join(after, F.col("key") == F.col("parent"), "left").select("key", (F.coalesce("after", F.lit(0)) < F.col("before")).alias("saves")))
-        meet(top.join(_small(weighed.filter("not saves").select("key")), "key", "left_semi"))
-        going = useful.join(_small(weighed.filter("saves").select(F.col("key").alias("parent"))), "parent", "left_semi").select("key")
+        done = rows.join(small(weighed.filter("saves").select("key")), "key", "left_anti")
+        meeting.append(done)
+        going = useful.join(small(weighed.filter("saves").select(F.col("key").alias("parent"))), "parent", "left_semi").select("key")
         rows = longer.join(_small(cut(going)), "key", "left_semi").drop("parent")
 
 
@@ -333,6 +332,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     near = cut(components(links).join(texts.select(F.struct(*_ID).alias("node"), "first"), "node"))
     heads = near.groupBy("root").agg(F.min("first").alias("head"))
     special = beside(near, heads, "root").join(degree, "node")
+    release(docs.sparkSession)
     special = cut(special.select(F.col("node.low").alias("low_of"), F.col("node.high").alias("high_of"), "head", "n_links"))
     firsts = worded.select(*_id(F.col("line")), F.expr(_AT).alias("place")).groupBy(*_ID).agg(F.min("place").alias("first"))
     rows = every.select("doc_id", "body", "line_no", F.length("line").alias("n_chars"), *(F.when(_worded(F.col("line")), x).alias(c) for x, c in zip(_id(F.col("line")), _ID, strict=True)))

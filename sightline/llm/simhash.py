@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, components, cut, pieces
+from .common import beside, components, cut, pieces, release
 
 SEGMENTS, BUDGET = 8, 3
 #: A key shared by more fingerprints than this is made longer twice, and then dealt out as pairs of blocks of this size.
@@ -332,6 +332,7 @@ def _grouped(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
     body = F.col("text").cast("binary")
     raw = F.xxhash64("text").alias("raw")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw, body.alias("body"))
+    release(docs.sparkSession)
     marks = cut(slim.mapInArrow(_sketches(width), "doc_id long, raw long, set_id long, keys array<long>"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
     first = cut(marks.groupBy("set_id").agg(F.min(row).alias("first"), F.first("keys").alias("keys")))
@@ -339,6 +340,7 @@ def _grouped(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
     low = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = components(beside(keys, low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
     wanted = cut(met.join(first.select("set_id", F.col("first.raw").alias("wanted")), F.col("node") == F.col("set_id")).select("root", "node", "wanted"))
+    release(docs.sparkSession)
     small = wanted.count() <= BROADCAST_IDS
     texts = docs.select(raw, body.alias("body")).join(F.broadcast(wanted) if small else wanted, F.col("raw") == F.col("wanted"))
     held = cut(texts.groupBy("root", "node").agg(F.min("body").alias("body")))

@@ -646,6 +646,7 @@ def test_line_classes_against_brute_force(spark, monkeypatch, dense):
     if dense == 3:
         monkeypatch.setattr(lines, "SAMPLE", 1)
         monkeypatch.setattr(lines, "ROW", 0)
+        monkeypatch.setattr(lines, "FEW_PAIRS", 0)
     r = random.Random(12)
     base = [" ".join(r.choice(VOCAB) for _ in range(r.choice([2, 4, 6, 14, 20]))) for _ in range(60)]
     every = base + [edited(r.choice(base), r.randrange(4), r) for _ in range(240)]
