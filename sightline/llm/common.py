@@ -49,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """cut() for loops: the rows without the size that Spark estimates for them.
+
+    A checkpoint keeps the estimate of its plan, and a join's is the product of its sides'. In a loop its digits multiply each
+    round, until the driver spends its time and memory on numbers of millions of digits.
+    """
+    rows = cut(df)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), df.sparkSession)
+
+
 def release(spark: SparkSession) -> None:
     """Asks the driver's JVM to collect garbage: only then does Spark delete shuffles and checkpoints that nothing refers to any more, by default every half hour."""
     spark._jvm.System.gc()
@@ -90,7 +100,7 @@ def components(links: DataFrame) -> DataFrame:
     their minimum, so rounds grow with the logarithm of a component's size and no neighbourhood is ever gathered in one
     row. A link with a null end, or from a node to itself, joins nothing.
     """
-    pairs = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = fresh(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -104,4 +114,4 @@ def components(links: DataFrame) -> DataFrame:
         large = beside(both, low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = beside(large, least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
+        pairs = fresh(small.select("e.a", "e.b").filter("a <> b").distinct())

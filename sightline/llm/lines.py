@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, components, cut, let, release
+from .common import beside, components, cut, fresh, let, release
 
 #: (shortest line in characters, edits allowed); the shorter line of a pair decides. Shorter lines match only exactly.
 BOUNDS = ((16, 1), (64, 2))
@@ -256,7 +256,7 @@ def _of_dense_keys(rows: DataFrame) -> DataFrame:
     own = F.sum(F.col("facts").bitwiseAND(F.lit(1)))
     meeting = []
     while True:
-        rows = cut(rows)
+        rows = fresh(rows)
         tally = rows.groupBy("key").agg(own.alias("own"), F.count("*").alias("held"), F.max(F.col("m") > F.col("t")).alias("more"))
         dense = cut(tally.filter((F.col("own") >= DENSE) & (F.col("held") >= DENSE) & F.col("more")).select("key", (F.col("own") * F.col("held")).alias("before")))
         n, pairs = dense.agg(F.count("*"), F.sum("before")).first()

@@ -801,3 +801,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         want += [(i, t, len(t), k) for k in range(poisson(u, mean))]
     got = [(x.doc_id, x.text, x.n_chars, x.replica) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) > 20
+
+
+def test_loops_keep_estimates_small(spark):
+    """The size that Spark estimates for a loop's result doesn't grow with its rounds; a path of 600 nodes takes several."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(600)], "a long, b long")
+    found = common.components(links)
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(601)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bigInteger().bitLength() < 1000
