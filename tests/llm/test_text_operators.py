@@ -808,4 +808,4 @@ def test_loops_keep_estimates_small(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(600)], "a long, b long")
     found = common.components(links)
     assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(601)}
-    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bigInteger().bitLength() < 1000
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 1000
