@@ -9,6 +9,9 @@ are verified by a banded bit-parallel edit distance.
 Lines made from one template share a segment by the thousand. Such a dense key makes no pairs. Its lines lose the segment they
 share, and what is left of them, still within t edits, is cut into t + 1 segments anew, where the lines of that key differ;
 those make longer keys, and so on while that saves more pairs than it makes keys.
+
+Near copies of one text that differ in some words share segments as well, by the dozen, without being within the bound. Each
+key carries how often its line holds the commonest letters; a pair whose counts are too far apart isn't made.
 """
 
 from __future__ import annotations
@@ -78,26 +81,44 @@ def _keyed(lines: DataFrame, *more: str) -> DataFrame:
     """key, id, facts and more columns of every variant that applies. lines: id, line, n. facts: the length, and kind in the lowest bit.
 
     One short expression makes any variant's key, so that it stays within compiled code, and both sides of the join read the
-    same rows.
+    same rows. Where lines have a mark (see _mark()) the facts hold it too, in the upper half.
     """
     names = ("kind", "t", "less", "i", "shift")
     table = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names, strict=True))) for v in _variants()))
     each = lines.select("*", F.explode(table).alias("v")).select(*lines.columns, "v.*")
     each = each.withColumn("m", F.col("n") - F.col("less")).filter(F.col("t") == _edits(F.col("m")))
-    return _located(each).select(F.expr(_KEY).alias("key"), "id", F.expr(_FACTS).alias("facts"), *more)
+    facts = F.expr(_FACTS)
+    if "mark" in lines.columns:
+        facts = facts.cast("long").bitwiseOR(F.col("mark"))
+    return _located(each).select(F.expr(_KEY).alias("key"), "id", facts.alias("facts"), *more)
 
 
 _FACTS = "n * 2 + kind"
 
 
+def _often(line: Column, c: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+
+
+def _mark(line: Column) -> Column:
+    """How often the line holds each of LETTERS[0], modulo 4, in the upper 32 bits.
+
+    Two bits each in Gray code, so that marks differ in as many bits as the circular distances of their counts make together.
+    """
+    packed = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS[0]):
+        n = _often(line, c).bitwiseAND(F.lit(3))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 32 + 2 * i))
+    return packed
+
+
 def _counts(line: Column) -> list[Column]:
     """c0, c1, ...: how often the line holds each of LETTERS, modulo 16, four bits each."""
-    often = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
     out = []
     for k, letters in enumerate(LETTERS):
         packed = F.lit(0).cast("long")
         for i, c in enumerate(letters):
-            packed = packed.bitwiseOR(F.shiftleft(often(c).bitwiseAND(F.lit(15)).cast("long"), 4 * i))
+            packed = packed.bitwiseOR(F.shiftleft(_often(line, c).bitwiseAND(F.lit(15)).cast("long"), 4 * i))
         out.append(packed.alias(f"c{k}"))
     return out
 
@@ -116,12 +137,18 @@ def _near_counts(a: str, b: str, edits: str) -> str:
 
 
 def _joined(keyed: DataFrame, *counts: str) -> DataFrame:
-    """a, b (a > b) of all rows of keyed (key, id, facts, perhaps counts and t) that share a key, one of them as an entry of the index.
+    """a, b (a > b) of all rows of keyed (key, id, facts, perhaps counts and t) that share a key, one of them as an entry of the index, and whose counts or else marks are close enough.
 
     What is asked of one side alone is put as a comparison of both, so that it's not pushed below the exchange, which both sides share.
     """
     side = lambda x: keyed.select("key", F.col("id").alias(x), F.col("facts").alias(f"f{x}"), *(F.col(c).alias(f"{x}{c}") for c in counts))
-    asked = "(fa & 1) < (fb & 1) * 3 and a <> b and (fa & 1 < fb & 1 or a > b)" + (f" and {_near_counts('a', 'b', 'bt')}" if counts else "")
+    asked = F.expr("(fa & 1) < (fb & 1) * 3 and a <> b and (fa & 1 < fb & 1 or a > b)")
+    if counts:
+        asked = asked & F.expr(_near_counts("a", "b", "bt"))
+    else:
+        # an edit changes two counts at most by one
+        shorter = F.expr(f"shiftright(least(fa & {(1 << 32) - 1}, fb & {(1 << 32) - 1}), 1)")
+        asked = asked & (F.bit_count(F.shiftrightunsigned(F.col("fa").bitwiseXOR(F.col("fb")), 32)) <= 2 * _edits(shorter))
     return side("a").join(side("b"), "key").filter(asked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
@@ -284,7 +311,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     dense = dense_keys(docs)
     long = _long_enough(docs)
     # through a generator of one row, or compiled code would put off the digest until each of a line's keys asks for it
-    keyed = _keyed(_named(long.distinct()).select(F.explode(F.array(F.struct("line", "id", "n"))).alias("x")).select("x.*"))
+    keyed = _keyed(_named(long.distinct()).select(F.explode(F.array(F.struct("line", "id", "n", _mark(F.col("line")).alias("mark")))).alias("x")).select("x.*"))
     if dense.isEmpty():
         return cut(_joined(keyed).distinct())
     sparse = keyed.join(_small(dense), "key", "left_anti")

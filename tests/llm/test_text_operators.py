@@ -687,6 +687,31 @@ def test_lines_of_one_template_make_no_pairs_but_near_ones(spark):
         assert 50 <= found < 50 + n // 20
 
 
+def near_copies(n, r):
+    """One line in n copies, each with two words of its own."""
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(3, 8))) for _ in range(70)]
+    out = []
+    for _ in range(n):
+        line = list(words)
+        for _ in range(2):
+            line[r.randrange(len(line))] = "".join(r.choice("etaoinshrdlu") for _ in range(6))
+        out.append(" ".join(line))
+    return out
+
+
+def test_near_copies_beyond_the_bound_make_few_pairs(spark):
+    made = near_copies(1500, random.Random(8))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*made, made[0][:200] + "x" + made[0][200:]])], "doc_id long, text string")
+    pairs = lines.candidates(docs)
+    assert pairs.count() < 8 * len(made)
+    texts = spark.createDataFrame([(x,) for x in made], "line string").select("line", F.xxhash64("line").alias("id"))
+    close = texts.alias("p").join(texts.alias("q"), F.col("p.id") > F.col("q.id")).filter(F.levenshtein("p.line", "q.line", 2) >= 0)
+    close = close.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    assert close.join(pairs, ["a", "b"], "left_anti").isEmpty()
+    linked = lines.line_classes(docs).filter(F.col("doc_id").isin(0, len(made))).select("class_doc", "n_links").collect()
+    assert [r["class_doc"] for r in linked] == [0, 0] and all(r["n_links"] for r in linked)
+
+
 def test_repeated_lines_are_cut_and_copies_left_whole(spark, none):
     line, long = "a line that many documents share word for word", prose(60).replace("\n", " ")
     data = [(1, f"{line}\nfirst of its own {long}", "s"), (2, f"second of its own {long[:90]}\n\n{line}", "s"), (3, f"{line}\n", "s"), (4, None, "s")]
