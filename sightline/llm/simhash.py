@@ -6,8 +6,9 @@ segments, at most one in the first five, at most two in the first seven. So two
 three make an equality key of 32 bits (24 keys a fingerprint); only fingerprints that share one meet, and a pair must keep
 within the chain's budgets before the full Hamming distance is taken.
 
-Texts with a Jaccard similarity of 0.8 differ in some ten of 64 bits, often in fifteen; no key that such a budget leaves is
-selective. The corpus stage therefore takes its candidates from bands of minima over the same kind of shingles.
+The corpus stage takes fingerprints of its own shingles and finds what is within three bits the same way. Texts with a Jaccard
+similarity of 0.8 differ in some ten of 64 bits, often in fifteen; no key that such a budget leaves is selective. So the stage
+adds candidates from bands of minima over the same shingles, and compares the candidates of both exactly.
 """
 
 from __future__ import annotations
@@ -59,9 +60,18 @@ def fingerprint(body: bytes | None) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, n - 2, 65536):  # long texts in bounded memory
         to = min(at + 65536, n - 2)
-        hashes = np.fromiter((digest(text[s : e - 1], _SEED) for s, e in zip(starts[at:to], ends[at + 2 : to + 2], strict=True)), np.uint64, to - at)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n - 2, bitorder="little").view(np.uint64)[0])
+        counts += _ones(np.fromiter((digest(text[s : e - 1], _SEED) for s, e in zip(starts[at:to], ends[at + 2 : to + 2], strict=True)), np.uint64, to - at))
+    return _majority(counts, n - 2)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprint_batches(batches):
@@ -219,15 +229,23 @@ def shingles(body: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def _bands(held: np.ndarray) -> np.ndarray:
-    """A key for each band of minima of the set; none for an empty set."""
-    if not len(held):
+def set_fingerprint(held: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles as shingles() gives it, 0 for an empty one."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(held), 65536):
+        counts += _ones(held[at : at + 65536])
+    return _majority(counts, len(held))
+
+
+def _bands(held: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A key for each of so many bands of minima of the set; none for an empty set."""
+    if not len(held) or not bands:
         return np.empty(0, np.int64)
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(bands * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(held), 2048):  # long texts in bounded memory
-        least = np.minimum(least, ((held[at : at + 2048, None] ^ _FACTORS[1]) * _FACTORS[0]).min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, MINIMA).T:
+        least = np.minimum(least, ((held[at : at + 2048, None] ^ _FACTORS[1, : len(least)]) * _FACTORS[0, : len(least)]).min(axis=0))
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, MINIMA).T:
         key = _mixed(key, column)
     return key.view(np.int64)
 
@@ -240,15 +258,17 @@ def alike(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     return both >= similar * (len(a) + len(b) - both) - 1e-9
 
 
-def _sketches(width: int):
+def _sketches(width: int, bands: int):
     def go(batches):
         for batch in pieces(batches, 1024):
-            sets, keys = [], []
+            sets, marks, keys = [], [], []
             for b in batch.column("body"):
                 body = b.as_py()
+                held = shingles(body, width)
                 sets.append(_signed(xxhash.xxh64_intdigest(b" ".join((body or b"").lower().split()), _SEED)))
-                keys.append(_bands(shingles(body, width)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "raw", "set_id", "keys"])
+                marks.append(_signed(set_fingerprint(held)))
+                keys.append(_bands(held, bands))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(sets, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "raw", "set_id", "fp", "keys"])
 
     return go
 
@@ -327,18 +347,28 @@ def similar_links(held: DataFrame, width: int = WIDTH, similar: float = SIMILAR)
     return out.unionByName(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long"))
 
 
-def _grouped(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, DataFrame]:
+def _near_prints(first: DataFrame) -> DataFrame:
+    """Links (a, b) between sets whose fingerprints are at most three bits apart, by links(). first: set_id, fp, one row a set."""
+    of_print = cut(first.groupBy("fp").agg(F.min("set_id").alias("low")))
+    same = beside(first.select("set_id", "fp"), of_print, "fp").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b"))
+    side = lambda x: of_print.select(F.col("fp").alias(x), F.col("low").alias(f"set_{x}"))
+    near = links(of_print.select("fp")).distinct().join(side("a"), "a").join(side("b"), "b")
+    return same.unionByName(near.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+
+
+def _grouped(docs: DataFrame, width: int, similar: float, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, raw, set_id of every row; set_id, of, first of every set of shingles): of names the group, first is its first row (none, doc_id, raw), ids before nulls."""
     body = F.col("text").cast("binary")
     raw = F.xxhash64("text").alias("raw")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw, body.alias("body"))
     release(docs.sparkSession)
-    marks = cut(slim.mapInArrow(_sketches(width), "doc_id long, raw long, set_id long, keys array<long>"))
+    marks = cut(slim.mapInArrow(_sketches(width, bands), "doc_id long, raw long, set_id long, fp long, keys array<long>"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
-    first = cut(marks.groupBy("set_id").agg(F.min(row).alias("first"), F.first("keys").alias("keys")))
+    first = cut(marks.groupBy("set_id").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keys = first.select("set_id", F.explode("keys").alias("key"))
     low = keys.groupBy("key").agg(F.min("set_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = components(beside(keys, low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b")))
+    banded = beside(keys, low, "key").filter("set_id <> low").select(F.col("set_id").alias("a"), F.col("low").alias("b"))
+    met = components(_near_prints(first.select("set_id", "fp")).unionByName(banded))
     wanted = cut(met.join(first.select("set_id", F.col("first.raw").alias("wanted")), F.col("node") == F.col("set_id")).select("root", "node", "wanted"))
     release(docs.sparkSession)
     small = wanted.count() <= BROADCAST_IDS
@@ -348,14 +378,14 @@ def _grouped(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
     return marks, cut(first.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("of", "set_id").alias("of"), "first"))
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR, bands: int = BANDS) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that links reach, null if there's none) for every row of docs (doc_id, text).
 
-    Two texts link when their sets of shingles of `width` words have a Jaccard similarity of at least `similar`: bands of
-    minima propose groups, and exact comparison decides. Texts of the same words are one set and never compared; texts without
+    Two texts link when their sets of shingles of `width` words have a Jaccard similarity of at least `similar`:
+    fingerprints within three bits and `bands` bands of minima (none: fingerprints alone) propose groups, and exact comparison decides. Texts of the same words are one set and never compared; texts without
     words are one set too.
     """
-    marks, sets = _grouped(docs, width, similar)
+    marks, sets = _grouped(docs, width, similar, bands)
     least = sets.groupBy("of").agg(F.min("first.doc_id").alias("component_id"))
     final = beside(sets.select("set_id", "of"), least, "of").select("set_id", "component_id")
     return beside(marks.select("doc_id", "set_id"), final, "set_id").select("doc_id", "component_id")

@@ -387,6 +387,21 @@ def test_links_join_all_that_are_near(spark, monkeypatch, block):
     assert {r.node: r.root for r in got.collect()} == {x: want[x] for p in near for x in p}
 
 
+def test_similar_texts_meet_by_their_fingerprints(spark):
+    r = random.Random(31)
+    data = []
+    for k in range(12):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(600)]
+        data.append((10 * k + 1, " ".join(words), "s"))
+        words[r.randrange(600)] = "changed"
+        data.append((10 * k + 2, " ".join(words), "s"))
+    prints = {i: simhash.set_fingerprint(simhash.shingles(t.encode())) for i, t, _ in data}
+    near = {10 * k + 2 for k in range(12) if (prints[10 * k + 1] ^ prints[10 * k + 2]).bit_count() <= simhash.BUDGET}
+    assert near
+    found = dict(rows(simhash.similar_groups(table(spark, [*data, *ODD[:3]]), bands=0)))
+    assert all(found[i] == (i - 1 if i in near else i) for i, _, _ in data)
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(6)
     long = [prose(300, r) for _ in range(20)]
