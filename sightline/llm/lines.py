@@ -27,6 +27,8 @@ from .common import beside, components, cut, fresh, let, release
 BOUNDS = ((16, 1), (64, 2))
 #: Characters whose counts are compared before texts are, sixteen in a number.
 LETTERS = ("etaoinshrlducmfw", "ypgbvk0123456789")
+#: Letters whose counts go with every key; each costs a pass over the line.
+MARKED = LETTERS[0][:8]
 #: Most rows of a table that is sent to every executor (about 30 bytes each); larger ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: A key is dense if at least so many lines hold it, as index and as probe.
@@ -101,12 +103,12 @@ def _often(line: Column, c: str) -> Column:
 
 
 def _mark(line: Column) -> Column:
-    """How often the line holds each of LETTERS[0], modulo 4, in the upper 32 bits.
+    """How often the line holds each of MARKED, modulo 4, in the upper 32 bits.
 
     Two bits each in Gray code, so that marks differ in as many bits as the circular distances of their counts make together.
     """
     packed = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS[0]):
+    for i, c in enumerate(MARKED):
         n = _often(line, c).bitwiseAND(F.lit(3))
         packed = packed.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 32 + 2 * i))
     return packed
