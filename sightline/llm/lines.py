@@ -10,8 +10,9 @@ Lines made from one template share a segment by the thousand. Such a dense key m
 share, and what is left of them, still within t edits, is cut into t + 1 segments anew, where the lines of that key differ;
 those make longer keys, and so on while that saves more pairs than it makes keys.
 
-Near copies of one text that differ in some words share segments as well, by the dozen, without being within the bound. Each
-key carries how often its line holds the commonest letters; a pair whose counts are too far apart isn't made.
+Near copies of one text that differ in some words share segments as well, by the dozen, without being within the bound. So the
+first join makes no pairs: it only keeps the keys that meet another line's. Their lines, few beside all, are looked up, and the
+pairs are made with the lines' character counts at hand; one whose counts are too far apart isn't made.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from .common import beside, components, cut, fresh, let, release
 BOUNDS = ((16, 1), (64, 2))
 #: Characters whose counts are compared before texts are, sixteen in a number.
 LETTERS = ("etaoinshrlducmfw", "ypgbvk0123456789")
-#: Letters whose counts go with every key; each costs a pass over the line.
-MARKED = LETTERS[0][:8]
 #: Most rows of a table that is sent to every executor (about 30 bytes each); larger ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: A key is dense if at least so many lines hold it, as index and as probe.
@@ -83,37 +82,19 @@ def _keyed(lines: DataFrame, *more: str) -> DataFrame:
     """key, id, facts and more columns of every variant that applies. lines: id, line, n. facts: the length, and kind in the lowest bit.
 
     One short expression makes any variant's key, so that it stays within compiled code, and both sides of the join read the
-    same rows. Where lines have a mark (see _mark()) the facts hold it too, in the upper half.
+    same rows.
     """
     names = ("kind", "t", "less", "i", "shift")
     table = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names, strict=True))) for v in _variants()))
     each = lines.select("*", F.explode(table).alias("v")).select(*lines.columns, "v.*")
     each = each.withColumn("m", F.col("n") - F.col("less")).filter(F.col("t") == _edits(F.col("m")))
-    facts = F.expr(_FACTS)
-    if "mark" in lines.columns:
-        facts = facts.cast("long").bitwiseOR(F.col("mark"))
-    return _located(each).select(F.expr(_KEY).alias("key"), "id", facts.alias("facts"), *more)
-
-
-_FACTS = "n * 2 + kind"
+    return _located(each).select(F.expr(_KEY).alias("key"), "id", F.expr("n * 2 + kind").alias("facts"), *more)
 
 
 def _often(line: Column, c: str) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
 
 
-def _mark(line: Column) -> Column:
-    """How often the line holds each of MARKED, modulo 4, in the upper 32 bits.
-
-    Two bits each in Gray code, so that marks differ in as many bits as the circular distances of their counts make together.
-    """
-    packed = F.lit(0).cast("long")
-    for i, c in enumerate(MARKED):
-        n = _often(line, c).bitwiseAND(F.lit(3))
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 32 + 2 * i))
-    return packed
-
-
 def _counts(line: Column) -> list[Column]:
     """c0, c1, ...: how often the line holds each of LETTERS, modulo 16, four bits each."""
     out = []
@@ -138,19 +119,24 @@ def _near_counts(a: str, b: str, edits: str) -> str:
     return f"{' + '.join(apart)} <= 2 * {edits}"
 
 
-def _joined(keyed: DataFrame, *counts: str) -> DataFrame:
-    """a, b (a > b) of all rows of keyed (key, id, facts, perhaps counts and t) that share a key, one of them as an entry of the index, and whose counts or else marks are close enough.
+def _meeting(keyed: DataFrame, dense: DataFrame) -> DataFrame:
+    """key, id, facts of the rows of keyed whose key another line holds too, one of the two as an entry of the index; facts is -1 for a line with a dense key, whose key here is its own.
 
-    What is asked of one side alone is put as a comparison of both, so that it's not pushed below the exchange, which both sides share.
+    As many rows at most as go in, however many lines share a key. What is asked of one side alone is put as a comparison of
+    both, so that it's not pushed below the exchange, which both sides share.
     """
-    side = lambda x: keyed.select("key", F.col("id").alias(x), F.col("facts").alias(f"f{x}"), *(F.col(c).alias(f"{x}{c}") for c in counts))
-    asked = F.expr("(fa & 1) < (fb & 1) * 3 and a <> b and (fa & 1 < fb & 1 or a > b)")
-    if counts:
-        asked = asked & F.expr(_near_counts("a", "b", "bt"))
-    else:
-        # an edit changes two counts at most by one
-        shorter = F.expr(f"shiftright(least(fa & {(1 << 32) - 1}, fb & {(1 << 32) - 1}), 1)")
-        asked = asked & (F.bit_count(F.shiftrightunsigned(F.col("fa").bitwiseXOR(F.col("fb")), 32)) <= 2 * _edits(shorter))
+    told = keyed.join(_small(dense.withColumn("dense", F.lit(True))), "key", "left")
+    # rows of dense keys are spread and meet themselves
+    told = told.select(F.expr("if(dense is null, key, xxhash64(key, id))").alias("key"), "id", F.expr("if(dense is null, facts, -1)").alias("facts"))
+    asked = "a.key = b.key and (a.facts + b.facts < 0 or a.id <> b.id and (a.facts & 1) + (b.facts & 1) > 0)"
+    # no new names, or the sides would differ and the keys be made twice
+    return told.alias("a").join(told.alias("b"), F.expr(asked), "left_semi")
+
+
+def _joined(keyed: DataFrame) -> DataFrame:
+    """a, b (a > b) of all rows of keyed (key, id, facts, counts, t) that share a key, one of them as an entry of the index, and whose counts are close enough."""
+    side = lambda x: keyed.select("key", F.col("id").alias(x), F.col("facts").alias(f"f{x}"), *(F.col(c).alias(f"{x}{c}") for c in [*_COUNTS, "t"]))
+    asked = F.expr("(fa & 1) < (fb & 1) * 3 and a <> b and (fa & 1 < fb & 1 or a > b)") & F.expr(_near_counts("a", "b", "bt"))
     return side("a").join(side("b"), "key").filter(asked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
@@ -290,7 +276,7 @@ def _of_dense_keys(rows: DataFrame) -> DataFrame:
         dense = cut(tally.filter((F.col("own") >= DENSE) & (F.col("held") >= DENSE) & F.col("more")).select("key", (F.col("own") * F.col("held")).alias("before")))
         n, pairs = dense.agg(F.count("*"), F.sum("before")).first()
         if not n or pairs <= FEW_PAIRS:
-            return _joined(reduce(DataFrame.union, [*meeting, rows]), *_COUNTS, "t")
+            return _joined(reduce(DataFrame.union, [*meeting, rows]).select("key", "id", "facts", *_COUNTS, "t"))
         small = F.broadcast if n <= BROADCAST_IDS else lambda table: table  # what is derived from dense has no more rows
         top = cut(rows.join(small(dense.select("key")), "key", "left_semi"))
         longer = cut(_longer(top, _cuts(top), small))
@@ -305,27 +291,35 @@ def _of_dense_keys(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """a, b (64-bit digests, a > b): all pairs of different lines of docs (text) that the keys bring together.
+    """a, b (64-bit digests, a > b): all pairs of different lines of docs (text) that the keys bring together."""
+    return _candidates(docs, _long_enough(docs).select("line", *_id(F.col("line"))))[0]
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """candidates(docs), and their lines as looked_up() gives them; rows (line, low, high) has all lines of docs.
 
     Repeated lines are combined before the shuffle, the only one that moves texts. Lines shorter than the first bound have no
     partner.
     """
     dense = dense_keys(docs)
-    long = _long_enough(docs)
     # through a generator of one row, or compiled code would put off the digest until each of a line's keys asks for it
-    keyed = _keyed(_named(long.distinct()).select(F.explode(F.array(F.struct("line", "id", "n", _mark(F.col("line")).alias("mark")))).alias("x")).select("x.*"))
-    if dense.isEmpty():
-        return cut(_joined(keyed).distinct())
-    sparse = keyed.join(_small(dense), "key", "left_anti")
-    return cut(_joined(sparse).union(_of_dense_keys(_held(_named(long), dense))).distinct())
-
-
-def looked_up(rows: DataFrame, pairs: DataFrame, *more: Column) -> DataFrame:
-    """low, high, n, counts, line and more aggregates for the lines of some pair, from another pass over rows (line, low, high); they are few beside all."""
-    used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        used = F.broadcast(used)
-    held = rows.join(used, F.col("low") == F.col("used"), "left_semi").groupBy(*_ID).agg(F.min("line").alias("line"), *more)
+    named = _named(_long_enough(docs).distinct()).select(F.explode(F.array(F.struct("line", "id", "n"))).alias("x")).select("x.*")
+    meeting = cut(_meeting(_keyed(named), dense))
+    release(docs.sparkSession)
+    texts = looked_up(rows, cut(meeting.select("id").distinct()), *more)
+    counts = texts.select(F.col("low").alias("id"), *_COUNTS)
+    # the shorter line of a pair is the one in the index, whose length is in its facts
+    pairs = _joined(meeting.filter("facts >= 0").join(counts, "id").withColumn("t", _edits(F.shiftright("facts", 1))))
+    held = cut(meeting.filter("facts < 0").select("id").distinct())
+    if not held.isEmpty():
+        of_dense = texts.join(held, F.col("low") == F.col("id"), "left_semi").select("line", F.col("low").alias("id"), "n")
+        pairs = pairs.union(_of_dense_keys(_held(of_dense, dense)))
+    return cut(pairs.distinct()), texts
+
+
+def looked_up(rows: DataFrame, ids: DataFrame, *more: Column) -> DataFrame:
+    """low, high, n, counts, line and more aggregates for the lines whose low is one of ids (id), from another pass over rows (line, low, high); they are few beside all."""
+    held = rows.join(_small(ids), F.col("low") == F.col("id"), "left_semi").groupBy(*_ID).agg(F.min("line").alias("line"), *more)
     return cut(cut(held).select("*", F.length("line").alias("n"), *_counts(F.col("line"))))
 
 
@@ -353,8 +347,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """
     every = occurrences(docs)
     worded = every.filter(_worded(F.col("line")))
-    pairs = candidates(docs)
-    texts = looked_up(worded.select("line", *_id(F.col("line")), F.expr(_AT).alias("place")), pairs, F.min("place").alias("first"))
+    pairs, texts = _candidates(docs, worded.select("line", *_id(F.col("line")), F.expr(_AT).alias("place")), F.min("place").alias("first"))
     links = cut(verified(pairs, texts))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     # only linked lines have a head other than their own first occurrence

@@ -727,6 +727,41 @@ def test_near_copies_beyond_the_bound_make_few_pairs(spark):
     assert [r["class_doc"] for r in linked] == [0, 0] and all(r["n_links"] for r in linked)
 
 
+def test_pairs_are_made_by_the_counts_of_all_letters(spark):
+    docs = spark.createDataFrame([(x,) for x in near_copies(1500, random.Random(8))], "text string")
+    assert lines.candidates(docs).count() < 500
+
+
+def test_lines_of_one_key_meet_in_one_row_each(spark):
+    rows = [(1, i, 200 + (i % 2)) for i in range(900)] + [(2, 1, 201), (3, 1, 200), (3, 2, 200), (4, 5, 201), (4, 5, 200)] + [(7, i, 201) for i in range(300)] + [(8, 3, 200)]
+    keyed = spark.createDataFrame(rows, "key long, id long, facts int").repartition(3)
+    dense = spark.createDataFrame([(7,), (8,)], "key long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        met = lines._meeting(keyed.select("key", (F.col("id") + 0).alias("id"), "facts"), dense)
+        out = met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r.key, r.id, r.facts) for r in out if r.facts >= 0) == sorted(rows[:900])
+    assert sorted(r.id for r in out if r.facts < 0) == sorted([*range(300), 3])
+    # both sides of the join read keys that are made once
+    assert "ReusedExchange" in plan
+
+
+def test_lines_are_looked_up_by_a_shuffle_as_well(spark, monkeypatch):
+    r = random.Random(21)
+    made = near_copies(80, r) + [f"The report of department no. {r.getrandbits(40):010x} was sent" for _ in range(120)]
+    made += [edited(r.choice(made), r.randrange(1, 3), r) for _ in range(80)]
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    monkeypatch.setattr(lines, "FEW_PAIRS", 0)
+    docs = spark.createDataFrame([(i, "\n".join(made[i : i + 3])) for i in range(len(made))], "doc_id long, text string")
+    sent = rows(lines.line_classes(docs))
+    monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
+    assert rows(lines.line_classes(docs)) == sent and any(x[6] for x in sent)
+
+
 def test_repeated_lines_are_cut_and_copies_left_whole(spark, none):
     line, long = "a line that many documents share word for word", prose(60).replace("\n", " ")
     data = [(1, f"{line}\nfirst of its own {long}", "s"), (2, f"second of its own {long[:90]}\n\n{line}", "s"), (3, f"{line}\n", "s"), (4, None, "s")]
